@@ -25,17 +25,21 @@ from tessera.llm.staging import discard, fresh_path, stage
 CHUNK_BYTES = 3 << 20
 MAX_BUCKETS = 4096
 FILES_PER_TASK = 4
-CHUNK_SCHEMA = "b long, chunk long, n_bytes long, blob binary"
+CHUNK_SCHEMA = "b long, chunk long, n_bytes long, blob binary, rest binary"
 ROW_BITS = 18  # of a row's place in its chunk; a chunk number takes the bits above
 
 
 @dataclass
 class Chunk:
-    """Documents in order of their ids: ids, bytes, offsets."""
+    """Documents in order of their ids: ids, bytes, offsets, and the columns carried along, if any."""
 
     ids: np.ndarray
     data: np.ndarray
     offs: np.ndarray
+    rest: bytes | None = None
+
+    def carried(self) -> pa.Table:
+        return pa.ipc.open_stream(K.expand(self.rest)).read_all()
 
     def pack(self) -> bytes:
         return K.squeeze(np.int64(len(self.ids)).tobytes() + self.ids.tobytes() + self.offs.tobytes() + self.data.tobytes())
@@ -49,7 +53,7 @@ class Chunk:
         return Chunk(ids, np.frombuffer(raw, np.uint8, int(offs[-1]), 16 + 16 * n), offs)
 
 
-def _gather(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Chunk:
+def _gather(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]) -> Chunk:
     ids = np.concatenate([p[0] for p in parts])
     lens = np.concatenate([np.diff(p[2]) for p in parts])
     data = np.concatenate([p[1] for p in parts])
@@ -59,26 +63,35 @@ def _gather(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Chunk:
     out = np.empty(len(data), dtype=np.uint8)
     for k, i in enumerate(order.tolist()):
         out[offs[k] : offs[k + 1]] = data[starts[i] : starts[i] + lens[i]]
-    return Chunk(ids[order], out, offs)
+    rest = None
+    if parts[0][3].num_columns:
+        table = pa.Table.from_batches([p[3] for p in parts]).take(pa.array(order))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        rest = K.squeeze(sink.getvalue().to_pybytes())
+    return Chunk(ids[order], out, offs, rest)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, count = TaskContext.get().partitionId(), 0
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]] = []
     size = rows = 0
 
     def emit() -> pa.RecordBatch:
         nonlocal count, held, size, rows
         chunk = _gather(held)
         count, held, size, rows = count + 1, [], 0, 0
-        return pa.RecordBatch.from_pydict({"b": pa.array([task * FILES_PER_TASK + count % FILES_PER_TASK], pa.int64()), "chunk": pa.array([task << 24 | count], pa.int64()), "n_bytes": pa.array([len(chunk.data)], pa.int64()), "blob": pa.array([chunk.pack()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"b": pa.array([task * FILES_PER_TASK + count % FILES_PER_TASK], pa.int64()), "chunk": pa.array([task << 24 | count], pa.int64()), "n_bytes": pa.array([len(chunk.data)], pa.int64()), "blob": pa.array([chunk.pack()], pa.binary()), "rest": pa.array([chunk.rest], pa.binary())})
 
     for batch in batches:
         raw, offs = K.column_bytes(batch.column(1))
+        more, done = batch.select(batch.schema.names[2:]), 0
         for part in K.groups(K.column_ids(batch.column(0)), raw, offs, 1 << 20):
             if held and (size + len(part[1]) > CHUNK_BYTES or rows > 50_000):
                 yield emit()
-            held.append((part[0].copy(), part[1].copy(), part[2]))
+            held.append((part[0].copy(), part[1].copy(), part[2], more.slice(done, len(part[0]))))
+            done += len(part[0])
             size, rows = size + len(part[1]), rows + len(part[0])
     if held:
         yield emit()
@@ -93,8 +106,8 @@ class Store:
     table: str
     total_bytes: int
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.table)
+    def read(self, carried: bool = False) -> DataFrame:
+        return self.spark.table(self.table) if carried else self.spark.table(self.table).drop("rest")
 
     def parts(self, bytes_each: int) -> int:
         return max(1, -(-self.total_bytes // bytes_each))
@@ -112,10 +125,10 @@ class Store:
         discard(self.spark, self.path)
 
 
-def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Store:
-    """Stage (id, text) of df as chunks."""
+def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> Store:
+    """Stage (id, text) of df as chunks, with the columns of `carry`."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
     path, table = fresh_path(spark, "chunks"), f"tessera_chunks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(_chunks, CHUNK_SCHEMA)
     buckets = max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
@@ -179,7 +192,10 @@ def rows_of(batches: Iterator[pa.RecordBatch], asked: tuple[str, ...]) -> Iterat
                     pick = np.flatnonzero(flat.field(0).to_numpy() == chunk_id)
                     mine = sorted((flat.field(1)[int(k)].as_py(), flat.field(2)[int(k)].as_py()) for k in pick)
                 got[a] = mine
-            yield get("b").as_py(), chunk_id, Chunk.unpack(get("blob").as_buffer()), got
+            chunk = Chunk.unpack(get("blob").as_buffer())
+            if "rest" in names:
+                chunk.rest = get("rest").as_py()
+            yield get("b").as_py(), chunk_id, chunk, got
 
 
 def read_bits(answers: list[tuple[int, bytes]], bounds: np.ndarray) -> np.ndarray:

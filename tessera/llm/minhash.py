@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +95,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32()), pa.array(band.ravel().view(np.int64)))
             uid = (chunk_id << X.ROW_BITS) + base + np.arange(len(ids))
             base += len(ids)
-            yield pa.RecordBatch.from_pydict({"uid": pa.array(uid), "b": pa.array(np.full(len(ids), b)), "doc_id": pa.array(ids), "n_shingles": pa.array(n.astype(np.int64)), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)), "bands": lists})
+            o = offs.tolist()
+            body = [xxhash.xxh64_intdigest(data[i:j], 42) for i, j in zip(o[:-1], o[1:])]
+            yield pa.RecordBatch.from_pydict({"uid": pa.array(uid), "b": pa.array(np.full(len(ids), b)), "doc_id": pa.array(ids), "n_shingles": pa.array(n.astype(np.int64)), "f1": pa.array(f1.view(np.int64)), "f2": pa.array(f2.view(np.int64)), "bands": lists, "body": pa.array(np.array(body, dtype=np.uint64).view(np.int64))})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +130,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataF
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id, kept (it is the component's least id), row_key (unique)."""
+    """Per row of df: doc_id, n_shingles, component_id, kept (it is the component's least id), body (xxhash64 of the text)."""
     held = X.store(df, id_col, text_col)
     chunks = held.read()
-    schema = "uid long, b long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+    schema = "uid long, b long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, body long"
     drawn = stage(chunks.mapInArrow(_sketch, schema), "sketches")
     set_key = ["n_shingles", "f1", "f2"]
     classes = drawn.where("n_shingles > 0").groupBy(*set_key).agg(F.min(F.struct("doc_id", "uid", "b", "bands")).alias("m"))
@@ -173,9 +176,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     owned = classes.select(*set_key, "doc_id", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(*set_key, "doc_id", F.coalesce("label", "uid").alias("label"))
     least = owned.groupBy("label").agg(F.min("doc_id").alias("component"))
     owned = owned.join(least, "label").select(*set_key, "component")
-    out = drawn.select("uid", "doc_id", *set_key).join(owned, set_key, "left").withColumn("component", F.coalesce("component", "doc_id"))
+    out = drawn.select("doc_id", "body", *set_key).join(owned, set_key, "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = lambda c: F.when(F.col(c) != K.NO_ID, F.col(c))
-    out = out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), F.col("uid").alias("row_key"))
+    out = out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "body")
     return held.finish(out, keep=False)
 
 

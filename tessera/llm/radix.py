@@ -208,7 +208,7 @@ def earlier_windows(bodies: list[bytes]) -> list[bytes]:
     return out
 
 
-def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool, carry: int = 0) -> Iterator[pa.RecordBatch]:
     for _, _, chunk, got in X.rows_of(batches, ("grams", "contexts")):
         c = _Chunk(chunk, n_parts)
         n = len(chunk.data)
@@ -240,16 +240,18 @@ def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool) -> Iterat
         columns = {"doc_id": K.ids_out(chunk.ids), "n_bytes": pa.array(lens.astype(np.int64)), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in pieces], pa.string())}
         if texts:
             columns["kept_text"] = pa.array([t.decode("utf-8", "ignore") for t in pieces], pa.string())
+        if carry:
+            columns |= {f"c{k}": chunk.carried().column(k) for k in range(carry)}
         for batch in pa.table(columns).to_batches(max_chunksize=4096):
             yield batch
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """Per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text.
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """Per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text; then the columns of `carry` as c0, c1...
 
     A removed run may begin or end inside a character; kept_text leaves out what is left of such a character.
     """
-    held = X.store(df, id_col, text_col)
+    held = X.store(df, id_col, text_col, carry)
     n_parts = held.parts(PART_BYTES)
     chunks = held.read()
 
@@ -270,4 +272,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams = X.ask(chunks, send_grams, X.seen_twice, (), "grams")
     contexts = X.ask(X.with_answers(chunks, grams), send_contexts, earlier_windows, ("grams",), "contexts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    return held.finish(X.with_answers(chunks, grams, contexts).mapInArrow(lambda batches: _cut(batches, n_parts, texts), schema), keep=texts)
+    schema += "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
+    n_carried = len(carry or [])
+    whole = X.with_answers(held.read(carried=n_carried > 0), grams, contexts)
+    return held.finish(whole.mapInArrow(lambda batches: _cut(batches, n_parts, texts, n_carried), schema), keep=texts)
