@@ -7,8 +7,9 @@ probability of their Jaccard similarity, with concentration bounds close to thos
 
 Documents with equal sets form one class first.  Classes that share a band are candidates.  In every bucket the class
 with the most bucket mates is the pivot: each class is verified against its best pivot, then against its other
-pivots, and then what is still apart from the largest component of a bucket is verified against all its members.
-Pairs within one component need no check, so a bucket of n linked classes costs n checks and none is dropped.
+pivots.  Pairs within one component need no check.  What is still apart in a bucket is compared by differences from
+the pivot (_through_pivots): a bound leaves only pairs whose differences overlap, and no pair that can be linked is
+dropped, so a bucket of n classes costs about n checks whether its members are linked with the pivot or not.
 
 Ties and repeated rows: equal texts are one class.  Null, empty and wordless texts have no shingles and are alone.
 Rows without an id count as one document above all others.
@@ -143,10 +144,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mates = stage(spread.join(busy, "key"), "mates")
     degree = mates.groupBy("uid").agg(F.sum(F.col("size") - 1).alias("degree"))
     ranked = mates.join(degree, "uid").select("key", "uid", "n", F.struct("degree", (-F.col("uid")).alias("minus")).alias("rank"))
-    pivots = ranked.groupBy("key").agg(F.max("rank").alias("pivot"))
-    near = lambda p, q: (F.least(p, q) * 100 >= F.greatest(p, q) * percent)  # noqa: E731  sizes further apart can't be linked
-    star = ranked.join(pivots, "key").select(F.col("uid").alias("a"), (-F.col("pivot.minus")).alias("b"), F.col("pivot.degree").alias("degree")).where("a <> b").distinct()
-    star = stage(star, "star")
+    pivots = ranked.groupBy("key").agg(F.max("rank").alias("p"))
+    pivoted = stage(ranked.join(pivots, "key").select("key", "uid", "n", (-F.col("p.minus")).alias("pivot"), "p.degree"), "pivoted")
+    star = stage(pivoted.where("uid <> pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b"), "degree").distinct(), "star")
     best = star.groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b"))
 
     wanted = mates.select("b", "uid").distinct().groupBy("b").agg(F.collect_list(F.struct(F.shiftright("uid", X.ROW_BITS).alias("chunk"), F.col("uid").bitwiseAND((1 << X.ROW_BITS) - 1).alias("part"), F.lit(b"").alias("body"))).alias("wanted"))
@@ -160,15 +160,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = links.union(more)
         labels = components(links)
 
-    rows = mates.select("key", "uid", "n").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", "n", F.coalesce("label", "uid").alias("label"))
-    rows = stage(rows, "mates")
-    counts = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.label").alias("main"))
-    minor = rows.join(main, "key").where("label <> main").select("key", F.col("uid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    other = rows.join(main, "key").select("key", F.col("uid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), "main")
-    rest = minor.join(other, "key").where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & near(F.col("na"), F.col("nb")))
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+    rest = _through_pivots(pivoted, labels, sets, percent)
     more = _verify(rest, sets, percent, "links")
     if more.limit(1).count():
         labels = components(links.union(more))
@@ -182,8 +174,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return held.finish(out, keep=False)
 
 
+def _through_pivots(pivoted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a bucket, are still in different components, and can be linked at all.
+
+    Let D(a) be the symmetric difference of a's set and that of the bucket's pivot.  a and b are linked if and only if
+    f(a) + f(b) <= 2 * (100 + percent) * |D(a) & D(b)| with f(a) = (100 + percent) * |D(a)| - (100 - percent) * |a|.
+    Of a pivot's members let m have the least f.  Where f(a) + f(b) <= 0 both are linked with m; those pairs (a, m)
+    are returned.  Otherwise the differences overlap by a known number of elements, so in a common order (elements
+    that the pivot lacks first: they are rare) their prefixes meet.  Members that aren't in m's component look up
+    their prefixes in those of all members, so that members that merely resemble the pivot never meet each other.
+    """
+    rows = pivoted.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    members = rows.join(mixed, "key", "left_semi").select("pivot", F.col("uid").alias("a"), "label").distinct()
+    x = sets.select(F.col("uid").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("uid").alias("pivot"), F.col("items").alias("y"))
+    schema = "pivot long, a long, label long, n long, d long, items array<int>"
+    diffs = members.join(x, "a").join(y, "pivot").select("pivot", "a", "label", "x", "y").mapInArrow(_differences, schema)
+    diffs = stage(diffs.withColumn("f", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")), "differences")
+    nearest = diffs.groupBy("pivot").agg(F.min(F.struct("f", "a", "label")).alias("m"))
+    seen = diffs.join(nearest, "pivot").withColumn("out", F.col("label") != F.col("m.label"))
+    floor = seen.where("out").groupBy("pivot").agg(F.min("f").alias("least_out"))
+    seen = seen.join(floor, "pivot")
+    sure = seen.where("out and f + m.f <= 0").select("a", F.col("m.a").alias("b"))
+
+    need = lambda f, g: F.greatest(F.ceil((f + g) / (2.0 * (100 + percent))), F.lit(1))
+    prefix = lambda other: F.slice("items", 1, F.greatest(F.col("d") - need(F.col("f"), other) + 1, F.lit(0)).cast("int"))
+    asks = seen.where("out").select("pivot", "a", F.col("label").alias("la"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("f").alias("fa"), F.posexplode(prefix(F.col("m.f"))).alias("i", "e"))
+    holds = seen.select("pivot", F.col("a").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("f").alias("fb"), F.posexplode(prefix(F.col("least_out"))).alias("j", "e"))
+    overlap = need(F.col("fa"), F.col("fb"))
+    can = (F.col("la") != F.col("lb")) & (F.col("fa") + F.col("fb") > 0) & (F.col("i") <= F.col("da") - overlap) & (F.col("j") <= F.col("db") - overlap)
+    can = can & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    met = asks.join(holds, ["pivot", "e"]).where(can).select("a", "b")
+    return sure.union(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of each set and of its symmetric difference with its pivot's, and 32 bits of the elements of that in order."""
+    for batch in batches:
+        left, right = batch.column("x"), batch.column("y")
+        n, items = [], []
+        for i in range(batch.num_rows):
+            a, p = (np.frombuffer(c[i].as_buffer(), dtype=np.uint64) for c in (left, right))
+            own, lost = (np.setdiff1d(u, v, assume_unique=True) for u, v in ((a, p), (p, a)))
+            n.append(len(a))
+            items.append(np.concatenate([own, lost]))
+        sizes = [len(v) for v in items]
+        flat = (np.concatenate(items) >> K.U(32)).astype(np.uint32).view(np.int32) if items else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("a"), batch.column("label"), pa.array(n, pa.int64()), pa.array(sizes, pa.int64()), lists], ["pivot", "a", "label", "n", "d", "items"])
+
+
 def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     for side in ("a", "b"):
-        l = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
-        pairs = pairs.join(l, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+        named = labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+        pairs = pairs.join(named, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
     return pairs
