@@ -28,7 +28,7 @@ from tessera.llm import kernels as K
 DEPTH, GRAM = 100, 36
 SPAN = DEPTH - GRAM + 1
 TILE = 1 << 17
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 _LOW = K.U((1 << 18) - 1)
 
 
@@ -126,6 +126,15 @@ def _parse(body: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return fields, np.frombuffer(raw, np.uint8, -1, at)
 
 
+def _tiles(lens: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Consecutive entries that are TILE bytes together (one at least), so that hashing takes bounded memory."""
+    ends, i = np.cumsum(lens), 0
+    while i < len(lens):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TILE, side="right")))
+        yield i, j
+        i = j
+
+
 def _refine(group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One pass: the groups split by the digit, and which rows are still in a group of two or more."""
     order = np.lexsort((digit, group))
@@ -142,16 +151,21 @@ def _refine(group: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def earlier_windows(bodies: list[bytes]) -> list[bytes]:
     """For each context of each message a bit per window: does it start earlier in any context of this partition?"""
     parsed = [_parse(x) for x in bodies]
+    counts = [len(p[0][0]) for p in parsed]
     gram, ids, at, shift, windows = (np.concatenate([p[0][k] for p in parsed]) for k in range(len(_FIELDS)))
     text = np.concatenate([*(p[1] for p in parsed), np.zeros(8, np.uint8)])
+    del parsed
     shift, windows = shift.astype(np.int64), windows.astype(np.int64)
     lens = windows + DEPTH - 1
     begin = np.cumsum(lens) - lens
     hit_from = np.cumsum(windows) - windows
     hit = np.zeros(int(windows.sum()), dtype=bool)
     # whole contexts: of equal ones only the first goes on
-    sums, down = K.prefix(text)
-    whole = K.mix((sums[begin + lens] - sums[begin]) * down[begin] + K.mix((shift << 20 | lens).astype(np.uint64), 5), 3)
+    whole = K.mix((shift << 20 | lens).astype(np.uint64), 5)
+    for i, j in _tiles(lens):
+        sums, down = K.prefix(text[begin[i] : begin[j - 1] + lens[j - 1]])
+        b = begin[i:j] - begin[i]
+        whole[i:j] = K.mix((sums[b + lens[i:j]] - sums[b]) * down[b] + whole[i:j], 3)
     order = np.lexsort((at, ids, whole, gram))
     g, w = gram[order], whole[order]
     head = np.ones(len(g), dtype=bool)
@@ -166,7 +180,7 @@ def earlier_windows(bodies: list[bytes]) -> list[bytes]:
     alone[1:] &= lg[1:] != lg[:-1]
     alone[:-1] &= lg[1:] != lg[:-1]
     rest = lead[~alone]
-    step, limit = 0, 1 << 20
+    step, limit = 0, 1 << 19
     cuts = np.concatenate([[0], np.flatnonzero(gram[rest][1:] != gram[rest][:-1]) + 1, [len(rest)]])
     load = np.concatenate([[0], np.cumsum(windows[rest])])
     while step < len(cuts) - 1:
@@ -199,8 +213,7 @@ def earlier_windows(bodies: list[bytes]) -> list[bytes]:
     out, pos = [], 0
     # a context equal to an earlier one: all its windows; the first of its kind may itself have earlier windows
     hit |= np.repeat(later, windows)
-    for p in parsed:
-        n = len(p[0][0])
+    for n in counts:
         a = hit_from[pos] if n else 0
         b = hit_from[pos + n - 1] + windows[pos + n - 1] if n else 0
         out.append(K.pack_bits(hit[a:b]))
