@@ -19,6 +19,9 @@ SUFFIXES = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs"]
 SWAPS = {".js": [".ts", ".tsx"], ".jsx": [".tsx"], ".mjs": [".mts"], ".cjs": [".cts"]}
 
 
+_COMMENT_OR_STRING = re.compile(r'"(?:\\.|[^"\\])*"|/\*.*?\*/|//[^\n]*', re.S)
+
+
 @dataclass(frozen=True)
 class Alias:
     prefix: str
@@ -27,8 +30,7 @@ class Alias:
 
 def parse_aliases(text: str, folder: str = "") -> list[Alias]:
     """compilerOptions.paths of a tsconfig with comments and trailing commas, longest prefix first; [] if unreadable."""
-    text = re.sub(r"/\*.*?\*/", "", text, flags=re.S)
-    text = re.sub(r"(^|[^:])//.*$", r"\1", text, flags=re.M)
+    text = _COMMENT_OR_STRING.sub(lambda m: m[0] if m[0][0] == '"' else "", text)
     text = re.sub(r",(\s*[}\]])", r"\1", text)
     try:
         options = json.loads(text).get("compilerOptions") or {}
