@@ -31,6 +31,7 @@ MIN_TOKENS, MIN_PAGES = 8, 3
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|[^<]+|<", re.S)
 _RAW = {"script", "style", "noscript", "template", "iframe", "object", "textarea", "select", "svg", "math", "head", "title", "audio", "video", "canvas", "noembed", "noframes", "xmp"}
 _OPAQUE = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "noscript"}
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in _OPAQUE}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "rt", "rp", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _BOILER = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
@@ -41,6 +42,8 @@ _WORDS = re.compile(
     r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|share|sharing|related|recommended|breadcrumb|breadcrumbs|pagination|pager|comment|comments|commentlist|disqus|replies|respond|toolbar|widget|skip|search)(?:$|[\s_-])",
     re.I,
 )
+_NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|replies|related|recommended|teaser|sponsor|sponsored|promo|ad|ads|advert|advertisement)(?:$|[\s_-])", re.I)
+_DECLARES_MAIN = re.compile(r"\b(?:role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody\b)", re.I)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "nav", "header", "footer", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "fieldset", "hr"}
 
@@ -53,8 +56,10 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
     got = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if got.get("role", "").lower() in _ROLES or "hidden" in got or got.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
         return True
-    if tag in ("body", "html", "article", "main"):
+    if tag in ("body", "html", "main"):
         return False
+    if tag == "article":  # a comment or a teaser may be an article of its own
+        return bool(_NOT_ARTICLE.search(f"{got.get('class', '')} {got.get('id', '')}"))
     names = f"{got.get('class', '')} {got.get('id', '')}"
     found = _WORDS.search(names)
     return bool(found) and not (in_main and re.fullmatch(r"[\s_-]*header[\s_-]*", found.group(0), re.I))
@@ -68,7 +73,6 @@ def parse(html: str) -> tuple[bool, list[str]]:
     stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, main
     boiler = inside = 0
     declared = False
-    opaque = ""
 
     def flush() -> None:
         if buffer:
@@ -82,14 +86,10 @@ def parse(html: str) -> tuple[bool, list[str]]:
         _, b, m = stack.pop()
         boiler, inside = boiler - b, inside - m
 
-    for t in _TOKEN.finditer(html):
-        tag = t.group(2)
-        if opaque:
-            if tag and t.group(1) and tag.lower() == opaque:
-                opaque = ""
-                flush()
-                pop()
-            continue
+    at, end = 0, len(html)
+    while at < end:
+        t = _TOKEN.match(html, at)
+        at, tag = t.end(), t.group(2)
         if tag is None:
             text = t.group(0)
             if text[0] != "<" or text == "<":
@@ -121,15 +121,17 @@ def parse(html: str) -> tuple[bool, list[str]]:
         if tag == "body":
             while stack and stack[-1][0] != "html":
                 pop()
-        b, m = tag in _RAW or _is_boiler(tag, t.group(3), inside > 0), tag in _MAIN
+        b, m = tag in _RAW or _is_boiler(tag, t.group(3), inside > 0), tag in _MAIN or bool(_DECLARES_MAIN.search(t.group(3)))
         if b and tag in _INLINE:
             flush()
         if m and not b and not boiler:
             declared = True
         stack.append((tag, b, m))
         boiler, inside = boiler + b, inside + m
-        if tag in _OPAQUE:
-            opaque = tag
+        if tag in _OPAQUE:  # nothing in it is markup but its own end
+            stop = _ENDS[tag].search(html, at)
+            at = stop.end() if stop else end
+            pop()
         elif t.group(3).endswith("/") and tag in ("svg", "math", "path"):
             pop()
     flush()
