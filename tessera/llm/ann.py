@@ -1,14 +1,16 @@
 """Nearest neighbours by cosine from score-aware (anisotropic) quantisation, four-bit table scans and exact reranking.
 
-Vectors are scaled to unit length.  A product quantiser of sub-vectors with 16 code words each is fitted on at most
-TRAIN_ROWS rows so that the loss weighs the residual's part parallel to the vector eta times the orthogonal part
-(the parallel part is what moves the largest inner products): codes by coordinate descent on that loss, code words
-by its weighted least-squares solution.  Rows are dealt to coarse cells; every row is indexed.
+Vectors are scaled to unit length and dealt to coarse cells; every row is indexed.  What a cell's centre leaves of a
+vector is coded by a product quantiser of sub-vectors with 16 code words each, fitted on at most TRAIN_ROWS rows so
+that the loss weighs the error's part parallel to the vector eta times the orthogonal part (the parallel part is what
+moves the largest inner products): codes by coordinate descent on that loss, code words by its weighted least-squares
+solution.  How many cells are probed, and which share of a block is reranked, are the least that keep RECALL of the
+true neighbours in the sample.
 
 A cell is stored in blocks of at most BLOCK rows (large cells are split by a hash of the id, so that a cell that a
 third of all rows fall into is many blocks).  A query block meets the blocks of its cells: per sub-vector a table of
-16 partial products is looked up for the whole block, the RERANK best are scored exactly in double precision on the
-original vectors, and the best of all blocks are merged by a grouped aggregation.
+16 partial products is looked up for the whole block, the best share of it is scored exactly in double precision on
+the original vectors, and the best of all blocks are merged by a grouped aggregation.
 
 Null and zero vectors and those with null or non-finite components take no part; vectors of another length than the
 most frequent one neither.  Ties go to the smaller id.  Rows with the query's own id are no candidates.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm.staging import stage
 
 TRAIN_ROWS, THRESHOLD, SUB, CODES = 20_000, 0.2, 2, 16
-BLOCK, QUERY_BLOCK, RERANK, MAX_CELLS, RECALL = 4096, 128, 128, 1024, 0.985
+BLOCK, QUERY_BLOCK, LEAST_RERANK, MAX_CELLS, RECALL = 4096, 128, 64, 1024, 0.985
 
 
 @dataclass
@@ -50,12 +52,13 @@ class Index:
         d = (self.centres * self.centres).sum(axis=1) - 2.0 * unit @ self.centres.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def encode(self, unit: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Codes by coordinate descent on |r|^2 + (eta - 1) (r . x)^2, from the nearest code words on."""
+    def encode(self, unit: np.ndarray, cells: np.ndarray, sweeps: int = 2) -> np.ndarray:
+        """Codes of x - centre by coordinate descent on |e|^2 + (eta - 1) (e . x)^2, from the nearest code words on."""
         n_sub = self.words.shape[0]
-        parts = unit.reshape(len(unit), n_sub, SUB)
-        square = ((parts[:, :, None, :] - self.words[None]) ** 2).sum(axis=3)
-        along = (parts[:, :, None, :] * (parts[:, :, None, :] - self.words[None])).sum(axis=3)
+        parts, rest = unit.reshape(len(unit), n_sub, SUB), (unit - self.centres[cells]).reshape(len(unit), n_sub, SUB)
+        error = rest[:, :, None, :] - self.words[None]
+        square = (error**2).sum(axis=3)
+        along = (parts[:, :, None, :] * error).sum(axis=3)
         codes = square.argmin(axis=2)
         rows = np.arange(len(unit))
         total = np.take_along_axis(along, codes[:, :, None], axis=2).sum(axis=(1, 2))
@@ -87,20 +90,22 @@ def fit(sample: np.ndarray, n_rows: int, rounds: int = 3) -> Index:
     k = int(max(1, min(MAX_CELLS, np.sqrt(n_rows) / 4, len(unit) // 32)))
     index.centres = _kmeans(unit, k, 10, rng)
     some = unit[rng.permutation(len(unit))[:6000]]
+    cells = index.cells(some, 1)[:, 0]
+    rest = some - index.centres[cells]
     for s in range(n_sub):
-        part = some[:, s * SUB : (s + 1) * SUB]
+        part = rest[:, s * SUB : (s + 1) * SUB]
         index.words[s, : min(CODES, len(part))] = _kmeans(part, min(CODES, len(part)), 10, rng)
     base = np.arange(n_sub) * CODES
     for _ in range(rounds):
-        codes = index.encode(some).astype(np.int64) + base
+        codes = index.encode(some, cells).astype(np.int64) + base
         # normal equations of the code words: diagonal counts plus (eta - 1) times the outer products of the rows
         size = n_sub * CODES * SUB
         v = np.zeros((len(some), size))
         at = (codes[:, :, None] * SUB + np.arange(SUB)).reshape(len(some), -1)
         np.put_along_axis(v, at, some, axis=1)
-        norm = (some * some).sum(axis=1)
+        norm = (some * rest).sum(axis=1)
         a = (eta - 1) * v.T @ v + np.diag(np.bincount(at.ravel(), minlength=size) + 1e-3)
-        b = np.bincount(at.ravel(), weights=some.ravel(), minlength=size) + (eta - 1) * v.T @ norm + 1e-3 * index.words.ravel()
+        b = np.bincount(at.ravel(), weights=rest.ravel(), minlength=size) + (eta - 1) * v.T @ norm + 1e-3 * index.words.ravel()
         index.words = np.linalg.solve(a, b).reshape(n_sub, CODES, SUB)
     return index
 
@@ -125,6 +130,34 @@ def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
+def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> float:
+    """The share of a cell's rows, best approximate score first, that holds `recall` of the sampled true neighbours.
+
+    Blocks are random parts of a cell, so the share holds for them; nearer neighbours in the whole table need less.
+    """
+    if len(sample) < 2:
+        return 1.0
+    unit = index.unit(sample)
+    home = index.cells(unit, 1)[:, 0]
+    codes = index.encode(unit, home)
+    asked = unit[:: max(1, len(unit) // queries)][:queries]
+    score = asked @ unit.T
+    top = np.argpartition(-score, min(k, len(unit) - 1), axis=1)[:, : k + 1]
+    n_sub = index.words.shape[0]
+    table = np.einsum("qsj,scj->qsc", asked.reshape(len(asked), n_sub, SUB), index.words)
+    need = []
+    for cell in np.unique(home):
+        mine = np.flatnonzero(home == cell)
+        place = np.full(len(unit), -1)
+        place[mine] = np.arange(len(mine))
+        for q, t in enumerate(place[top]):
+            if (t := t[t >= 0]).size:
+                approx = table[q][np.arange(n_sub), codes[mine]].sum(axis=1)
+                need += (((approx[None] > approx[t][:, None]).sum(axis=1) + 1) / len(mine)).tolist()
+    share = np.sort(need)
+    return float(share[min(len(share) - 1, int(np.ceil(recall * len(share))))]) if len(share) else 1.0
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -150,7 +183,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).toArrow()
     drawn = _matrix(sample.column("v").combine_chunks())
     index = fit(drawn, n)
-    n_probe = probes(index, drawn, k, recall)
+    n_probe, share = probes(index, drawn, k, recall), depth(index, drawn, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +191,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 part = batch.slice(i, 2048)
                 x = _matrix(part.column(1))
                 unit = index.unit(x)
-                codes = index.encode(unit)
+                cells = index.cells(unit, 1)[:, 0]
+                codes = index.encode(unit, cells)
                 codes = codes if codes.shape[1] % 2 == 0 else np.pad(codes, ((0, 0), (0, 1)))
                 packed = codes[:, 0::2] | codes[:, 1::2] << 4
-                yield pa.RecordBatch.from_pydict({"cell": pa.array(index.cells(unit, 1)[:, 0].astype(np.int32)), "id": part.column(0), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cell": pa.array(cells.astype(np.int32)), "id": part.column(0), "code": pa.array([c.tobytes() for c in packed], pa.binary()), "x": pa.array([v.tobytes() for v in x], pa.binary())})
 
     indexed = stage(rows.mapInArrow(assign, "cell int, id long, code binary, x binary"), "coded")
     sizes = {r.cell: r.n for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS rows at most
@@ -198,7 +232,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 qids, ids = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[2], np.int64)
                 qx, x = (np.frombuffer(b, np.float64).reshape(-1, index.dim) for b in (raw[1], raw[4]))
                 packed = np.frombuffer(raw[3], np.uint8).reshape(len(ids), -1)
-                got = scan(index, qids, qx, ids, packed, x, k)
+                got = scan(index, qids, qx, ids, packed, x, k, share)
                 yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
     met = queries.join(blocks, "cell").select("qids", "qxs", "ids", "codes", "xs").mapInArrow(search, out_schema)
@@ -208,8 +242,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
 
 
-def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query.  Equal queries are looked up once."""
+def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a block for each query.  Equal queries are looked up once.
+
+    The query's product with the cell's centre is the same for the whole block and left out.
+    """
     n_sub = index.words.shape[0]
     distinct, back = np.unique(qx, axis=0, return_inverse=True)
     back = back.ravel()
@@ -218,7 +255,7 @@ def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed
     approx = np.zeros((len(distinct), len(ids)), dtype=np.float32)
     for s in range(n_sub):
         approx += table[s][:, (packed[:, s // 2] >> (4 * (s % 2))) & 15]
-    keep = min(len(ids), RERANK + 1)
+    keep = min(len(ids), max(LEAST_RERANK, int(np.ceil(share * len(ids)))) + 1)
     if keep < len(ids):  # ties of the approximate score go to the smaller id, which comes first
         cut = np.partition(approx, len(ids) - keep, axis=1)[:, len(ids) - keep]
     norms = np.sqrt((x * x).sum(axis=1))
