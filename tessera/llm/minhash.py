@@ -32,6 +32,7 @@ from tessera.llm.staging import stage
 
 WIDTH, ROWS, BANDS = 5, 5, 24
 T = ROWS * BANDS
+BROADCAST_PIVOTS = 200_000  # of rows of 40 bytes
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -192,10 +193,11 @@ def _through_pivots(pivoted: DataFrame, labels: DataFrame, sets: DataFrame, perc
     schema = "pivot long, a long, label long, n long, d long, items array<int>"
     diffs = members.join(x, "a").join(y, "pivot").select("pivot", "a", "label", "x", "y").mapInArrow(_differences, schema)
     diffs = stage(diffs.withColumn("f", (100 + percent) * F.col("d") - (100 - percent) * F.col("n")), "differences")
-    nearest = diffs.groupBy("pivot").agg(F.min(F.struct("f", "a", "label")).alias("m"))
-    seen = diffs.join(nearest, "pivot").withColumn("out", F.col("label") != F.col("m.label"))
-    floor = seen.where("out").groupBy("pivot").agg(F.min("f").alias("least_out"))
-    seen = seen.join(floor, "pivot")
+    nearest = stage(diffs.groupBy("pivot").agg(F.min(F.struct("f", "a", "label")).alias("m")), "nearest")
+    small = F.broadcast if nearest.count() <= BROADCAST_PIVOTS else (lambda df: df)
+    outer = diffs.select("pivot", "label", "f").join(small(nearest), "pivot").where(F.col("label") != F.col("m.label"))
+    bounds = stage(nearest.join(outer.groupBy("pivot").agg(F.min("f").alias("least_out")), "pivot"), "bounds")
+    seen = diffs.join(small(bounds), "pivot").withColumn("out", F.col("label") != F.col("m.label"))
     sure = seen.where("out and f + m.f <= 0").select("a", F.col("m.a").alias("b"))
 
     need = lambda f, g: F.greatest(F.ceil((f + g) / (2.0 * (100 + percent))), F.lit(1))
