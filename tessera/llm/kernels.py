@@ -6,6 +6,7 @@ kernel runs over the whole group, so no Python object is made for a word or a ch
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,3 +148,20 @@ def squeeze(raw: bytes) -> bytes:
 def expand(blob: bytes) -> bytes:
     n = int.from_bytes(blob[:8], "little")
     return _ZSTD.decompress(memoryview(blob)[8:], decompressed_size=n, asbytes=True) if n else b""
+
+
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers stay, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, and release() when they are through."""
+    try:
+        yield from batches
+    finally:
+        release()

@@ -10,8 +10,10 @@ Null texts are empty documents: one end id.  Repeated ids are packed like any ot
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -20,57 +22,162 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.staging import stage
+from tessera.llm.staging import small_batches, stage
 
-WINDOW, GROUP_PIECES, CACHE = 2048, 8192, 300_000
+WINDOW, GROUP_PIECES, CACHE, PIECES = 2048, 8192, 1_500_000, 300_000
 
 
-class WordIds(dict):
-    """Ids of runs without ASCII white space, as little-endian 32-bit bytes.
+class WordIds:
+    """Ids of runs without ASCII white space.
 
     The tokenizer never lets a token span white space (its split drops it, its normaliser only maps it to a space),
-    so a text's ids are those of its runs, one after the other.
+    so a text's ids are those of its runs, one after the other.  Known runs are rows of arrays, found by a 64-bit hash
+    and copied out for a whole group of texts at once.  New runs of Latin letters, digits and signs are put together
+    from the pieces of the tokenizer's own split, which few new runs add to; new pieces are encoded many at a time,
+    told apart by the tokens that end a word.  Other runs are encoded whole, told apart by a special token.
     """
 
+    #: fixed value: the tokenizer's split
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: characters that are normalised already, whose lower case is one character, and that are no white space
+    PLAIN = "[!-~\u00a1-\u012f\u0131-\u017f]+"
+    SPECIAL, BATCH = "<|startoftext|>", 4096
+
     def __init__(self, path: str) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        new = list(set().union(*parts).difference(self)) if parts else []
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = list(set().union(*parts))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for k, e in zip(some, self.tokenizer.encode_batch([b.decode() for b in some], add_special_tokens=False)):
-                self[k] = np.array(e.ids, dtype="<u4").tobytes()
-        get = self.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        self.split, self.plain = regex.compile(self.SPLIT).findall, regex.compile(self.PLAIN).fullmatch
+        self.special = self.tokenizer.token_to_id(self.SPECIAL)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a group of texts, one after the other, and where each text's begin."""
+        w = K.Words(data, offs)
+        runs, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        row = self._rows(runs)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            if len(self.keys) + len(new) > CACHE:
+                self.forget()
+                new = np.arange(len(runs))
+            raw = data.tobytes()
+            with _no_collector():
+                self._add(runs[new], self.learn([raw[i:j] for i, j in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())]))
+            row = self._rows(runs)
+        start, size = self.start[row][back], self.size[row][back]
+        stop = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pool[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
+        return ids, stop[w.first]
+
+    def _rows(self, runs: np.ndarray) -> np.ndarray:
+        """The row of each run, -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(runs), -1)
+        row = np.minimum(np.searchsorted(self.keys, runs), len(self.keys) - 1)
+        return np.where(self.keys[row] == runs, row, -1)
+
+    def _add(self, runs: np.ndarray, encoded: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(encoded), dtype="<u4")
+        size = np.array([len(e) for e in encoded], dtype=np.int64) // 4
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        where = np.searchsorted(self.keys, runs)
+        self.start = np.insert(self.start, where, self.used + np.cumsum(size) - size)
+        self.size, self.keys = np.insert(self.size, where, size), np.insert(self.keys, where, runs)
+        self.used += len(ids)
+
+    def learn(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of each run, as little-endian 32-bit bytes."""
+        parts: list[list[str] | None] = []
+        other: list[str] = []
+        for run in runs:
+            text = run.decode()
+            if self.plain(text) and "<|" not in text:
+                parts.append(self.split(text.lower()))
+            else:
+                parts.append(None)
+                other.append(text)
+        new = {p for pieces in parts if pieces for p in pieces}
+        if len(self.known) + len(new) > PIECES:
+            self.known.clear()
+        new = list(new.difference(self.known))
+        for i in range(0, len(new), self.BATCH):
+            some = new[i : i + self.BATCH]
+            ids = self.ids(" ".join(some))
+            self.known.update(zip(some, self.cut(some, ids, np.flatnonzero(self.ends_word[ids]) + 1, 0)))
+        rest: list[bytes] = []
+        for i in range(0, len(other), self.BATCH):
+            some = other[i : i + self.BATCH]
+            ids = self.ids("".join(t + self.SPECIAL for t in some))
+            rest += self.cut(some, ids, np.flatnonzero(ids == self.special) + 1, 1)
+        known, others = self.known.__getitem__, iter(rest)
+        return [next(others) if p is None else known(p[0]) if len(p) == 1 else b"".join(map(known, p)) for p in parts]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def cut(self, texts: list[str], ids: np.ndarray, stops: np.ndarray, drop: int) -> list[bytes]:
+        """The ids of each text, which end `drop` ids before each stop; one by one if the stops don't fit the texts."""
+        if len(stops) != len(texts):
+            return [self.ids(t).tobytes() for t in texts]
+        raw, ends = ids.tobytes(), stops.tolist()
+        return [raw[4 * i : 4 * (j - drop)] for i, j in zip([0, *ends], ends)]
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The tokenizer with its caches of at most CACHE runs and PIECES pieces, kept from task to task of a worker."""
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return _WORDS[path]
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """Millions of bytes objects without cycles: searching them for cycles would take most of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = 1) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, and its row (unique per document row)."""
+    small_batches(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
-        for batch in batches:
+        words = word_ids(tokenizer)
+        for batch in K.released(batches):
             raw, offs = K.column_bytes(batch.column(1))
             ids = K.column_ids(batch.column(0))
-            for some, data, o in K.groups(ids, raw, offs, 1 << 20):
-                text, e = data.tobytes(), o.tolist()
+            for some, data, o in K.groups(ids, raw, offs):
+                got, edges = words.encode(data, o)
+                body, e = got.tobytes(), (4 * edges).tolist()
                 rows: list[tuple[int, int, int, int, int]] = []
-                for doc, got in zip(some.tolist(), words.encode([text[a:b] for a, b in zip(e[:-1], e[1:])])):
-                    got += end
-                    n = len(got) // 4
-                    rows += [(doc, a, min(window, n - a), zlib.crc32(got[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
+                for doc, i, j in zip(some.tolist(), e[:-1], e[1:]):
+                    text = body[i:j] + end
+                    n = len(text) // 4
+                    rows += [(doc, a, min(window, n - a), zlib.crc32(text[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([K.ids_out(np.array(cols[0], dtype=np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

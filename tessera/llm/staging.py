@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,3 +35,16 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, if it is higher.
+
+    A batch is held by the JVM and by the Python worker at once, and long texts make one of 10,000 rows very large.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
