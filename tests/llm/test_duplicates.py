@@ -146,8 +146,9 @@ def test_substring_dedup(spark, rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
-def test_suffix_dedup(spark, rows):
-    got = suffix_dedup(frame(spark, rows), texts=False)
+@pytest.mark.parametrize("hot", [0, 1, 3, 64])
+def test_suffix_dedup(spark, rows, hot):
+    got = suffix_dedup(frame(spark, rows).repartition(5), texts=False, hot=hot)
     assert collected(got) == brute_suffix(rows)
 
 
