@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.staging import ship
+
 SYMBOL = "ord int, name string, kind string, start_line int, end_line int, exported boolean, signature string, doc string, parent string, strings array<string>"
 
 
@@ -50,6 +52,7 @@ def parse_files(files: DataFrame) -> DataFrame:
                 symbols = [[{"ord": k, **asdict(s)} for k, s in enumerate(g.symbols)] for g in got]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(symbols, pa.list_(row)), pa.array([g.specifiers for g in got], pa.list_(pa.string()))], ["path", "lang", "hash", "symbols", "specifiers"])
 
+    ship(files.sparkSession)
     fields = ",".join(f.strip().replace(" ", ":", 1) for f in SYMBOL.split(","))
     return files.select("path", "lang", "hash", F.col("text")).mapInArrow(run, f"path string, lang string, hash string, symbols array<struct<{fields}>>, specifiers array<string>")
 

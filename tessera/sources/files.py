@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.staging import ship
 
 STATE_FOLDER = ".tessera"
 # fixed values: folders that a watcher ignores unless told otherwise
@@ -149,6 +150,7 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_folder(spark: SparkSession, root: str, ignore: list[str] | None = None, code_only: bool = True, bytes_each: int = 64 << 20) -> DataFrame:
     """(path, text) of a tree of files; paths are filtered before any file is opened."""
+    ship(spark)
     found = sorted(_listed(spark, root))
     paths = spark.createDataFrame([(p, u) for p, u, _ in found], "path string, uri string")
     paths = paths.where(~F.col("path").rlike(r"^\.git/"))

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tessera.functions import text as T
 from tessera.sources.files import WATCH_IGNORE
+from tessera.sources.staging import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -64,6 +65,7 @@ class _Changed(StatefulProcessor):
 
 def changed_versions(versions: DataFrame) -> DataFrame:
     """A stream of versions(repo, seq, tree) without those equal to the one before; needs the RocksDB state store."""
+    ship(versions.sparkSession)
     key = versions.schema["repo"].dataType.simpleString()
     return versions.select("repo", "seq", "tree").groupBy("repo").transformWithStateInPandas(_Changed(), outputStructType=f"repo {key}, seq long, tree string", outputMode="Append", timeMode="None")
 
