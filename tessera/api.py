@@ -12,9 +12,10 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import render
 from tessera.functions.display import parse_duration
 from tessera.operators import bisect as B
-from tessera.operators import readers, repo_map, search, timeline
+from tessera.operators import cost, readers, repo_map, search, timeline
 from tessera.sources import files as FS
 from tessera.sources.code_index import Built, CodeIndex, NotIndexed, build_index, load_index, save_index
 from tessera.sources.timeline_store import TimelineStore
@@ -51,7 +52,7 @@ class Workspace:
         return self.index()
 
     def _ignore(self) -> list[str]:
-        return [*FS.ignore_patterns(FS.read_text(self.root, ".gitignore")), *FS.ignore_patterns(FS.read_text(self.root, ".tesseraignore")), f"{FS.STATE_FOLDER}/"]
+        return [*FS.ignore_patterns(FS.read_text(self.root, ".gitignore")), *FS.ignore_patterns(FS.read_text(self.root, ".git/info/exclude")), *FS.ignore_patterns(FS.read_text(self.root, ".tesseraignore")), f"{FS.STATE_FOLDER}/"]
 
     # --- features
 
@@ -125,10 +126,43 @@ class Workspace:
         index = self.ensure_index()
         return repo_map.repo_map(index.files, index.symbols, min(budget_tokens, 20_000), private).render()
 
+    def measure_tokens(self, queries: list[str]) -> list[cost.Cost]:
+        """Estimated tokens of each query by whole files and by the index, and the total."""
+        index, texts = self.ensure_index(), self._texts()
+        each = [cost.measure(texts, index.docs, index.symbols, q, self.features) for q in queries]
+        return [*each, cost.total(each)]
+
+    # --- the same as text
+
+    def find_text(self, query: str, limit: int = 10, kind: str | None = None) -> str:
+        return render.lines(self.find_feature(query, limit, kind), render.hit())
+
+    def outline_text(self, file: str) -> str | None:
+        rows = self.outline(file)
+        return None if rows is None else render.lines(rows, render.outline_row())
+
+    def references_text(self, name: str, limit: int = readers.REFERENCE_LIMIT) -> str:
+        return render.lines(self.references(name, limit), render.reference())
+
+    def log_text(self, limit: int = timeline.LOG_LIMIT) -> str:
+        return render.lines(self.log(limit), render.log_row(F.lit(int(time.time()))))
+
+    def list_text(self, limit: int = 20) -> str:
+        return render.lines(timeline.log(self.store.snapshots, min(limit, 200)), render.summary())
+
     # --- history
 
+    def git_state(self) -> tuple[str, str | None]:
+        """Branch and commit that the tree has checked out: 'unknown' and None outside of a repository, 'HEAD' if detached."""
+        head = FS.read_text(self.root, ".git/HEAD").strip()
+        if not head.startswith("ref: "):
+            return ("HEAD", head) if head else ("unknown", None)
+        ref = head.removeprefix("ref: ")
+        packed = {r: c for c, _, r in (line.partition(" ") for line in FS.read_text(self.root, ".git/packed-refs").splitlines())}
+        return ref.removeprefix("refs/heads/"), FS.read_text(self.root, f".git/{ref}").strip() or packed.get(ref)
+
     def snap(self, label: str = "", source: str = "manual", agent: str | None = None, turn: str | None = None) -> Row | None:
-        return self.store.create(self._texts(code_only=False), label, source, agent, turn)
+        return self.store.create(self._texts(code_only=False), label, source, agent, turn, *self.git_state())
 
     def checkpoint_begin(self, label: str, turn: str | None = None, agent: str | None = None) -> Row | None:
         return self.snap(f"begin: {label}", "agent", agent, turn)

@@ -15,6 +15,7 @@ from tessera.operators import timeline as TL
 from tessera.sources.staging import stage
 
 VERSIONS = "repo string, seq long, tree string, ts long, label string, source string, agent string, turn string, branch string, head string"
+SNAPSHOTS = f"{VERSIONS}, parent_seq long, parent_tree string, id string, short string, parent string"
 ENTRIES = "tree string, path string, blob string"
 BLOBS = "blob string, text string, size long"
 
@@ -40,13 +41,9 @@ class TimelineStore:
             row = None
         return row.generation if row else "versions"
 
-    @property
-    def versions(self) -> DataFrame:
-        return self._read(self._generation(), VERSIONS)
-
     @property
     def snapshots(self) -> DataFrame:
-        return TL.create_snapshots(self.versions)
+        return self._read(self._generation(), SNAPSHOTS)
 
     @property
     def entries(self) -> DataFrame:
@@ -57,8 +54,8 @@ class TimelineStore:
         return self._read("blobs", BLOBS)
 
     def tip(self):
-        """seq and tree of the newest version, or None."""
-        row = self.versions.agg(F.max(F.struct("seq", "tree")).alias("m")).first()
+        """seq, tree and id of the newest snapshot, or None."""
+        row = self.snapshots.agg(F.max(F.struct("seq", "tree", "id")).alias("m")).first()
         return row.m if row and row.m else None
 
     def write_tree(self, files: DataFrame) -> str:
@@ -82,25 +79,25 @@ class TimelineStore:
         if (now and now.seq) != (tip and tip.seq):
             raise ConcurrentUpdate(self.folder)
         seq = tip.seq + 1 if tip else 1
-        row = (self.repo, seq, tree, int(time.time()) if ts is None else ts, label, source, agent, turn, branch, head)
-        self.spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.folder}/{self._generation()}")
-        return self.snapshots.where(F.col("seq") == seq).first()
+        row = (self.repo, seq, tree, int(time.time()) if ts is None else ts, label, source, agent, turn, branch, head, *((tip.seq, tip.tree, tip.id) if tip else (None, None, None)))
+        made = self.spark.createDataFrame([row], f"{VERSIONS}, parent_seq long, parent_tree string, parent string").withColumn("id", TL.snapshot_id()).withColumn("short", F.substring("id", 1, 8))
+        one = made.select(*(c.split()[0] for c in SNAPSHOTS.split(", "))).first()
+        self.spark.createDataFrame([one], SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/{self._generation()}")
+        return one
 
     def prune(self, cutoff_s: float, keep_labeled: bool = False) -> tuple[int, int]:
         """(removed, kept); survivors become a new generation, which readers then see as a whole."""
-        versions = self.versions
-        kept = TL.retained(versions, cutoff_s, keep_labeled)
-        n, k = versions.count(), kept.count()
+        n, k = self.snapshots.count(), TL.retained(self.snapshots, cutoff_s, keep_labeled).count()
         if k < n:
-            self._switch(kept)
+            self._switch(TL.prune(self.snapshots, cutoff_s, keep_labeled))
         return n - k, k
 
     def clear(self) -> None:
-        self._switch(self.spark.createDataFrame([], VERSIONS))
+        self._switch(self.spark.createDataFrame([], SNAPSHOTS))
 
-    def _switch(self, versions: DataFrame) -> None:
+    def _switch(self, snapshots: DataFrame) -> None:
         name = f"versions-{uuid.uuid4().hex}"
-        versions.write.parquet(f"{self.folder}/{name}")
+        snapshots.select(*(c.split()[0] for c in SNAPSHOTS.split(", "))).write.parquet(f"{self.folder}/{name}")
         self.spark.createDataFrame([(name,)], "generation string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/current")
 
     def size_kib(self) -> int:

@@ -124,7 +124,17 @@ def test_workspace(spark, tmp_path):
     w.feature_rm("sign")
     assert w.features == {} and w.feature_suggest().count() == 1
 
+    assert w.find_text("login").splitlines()[0].startswith("src/login.py:1-3 login [function] (tam ad+") and w.outline_text("none.py") is None
+    assert w.outline_text("src/check.py") == "2-3 export function check — def check()" and "src/login.py:3 (login)  return check()" in w.references_text("check")
+    cheap, all_of_it = w.measure_tokens(["login"])
+    assert cheap.matched == 2 and cheap.top == "src/login.py:1" and all_of_it.naive_chars == cheap.naive_chars > 0
+
+    assert w.git_state() == ("unknown", None)
+    (root / ".git/refs/heads").mkdir(parents=True)
+    (root / ".git/HEAD").write_text("ref: refs/heads/main\n")
+    (root / ".git/refs/heads/main").write_text("abc123\n")
     first = w.snap("one")
+    assert (first.branch, first.head) == ("main", "abc123")
     assert first.label == "one" and w.snap("same") is None
     (root / "src/check.py").write_text("def check():\n    return 2\n")
     (root / "src/new.py").write_text("x = 1\n")
@@ -133,6 +143,7 @@ def test_workspace(spark, tmp_path):
     assert [(r.label, r.files) for r in w.log().collect()] == [("end: two", 2), ("one", 4)]
     assert "+    return 2" in {r.path: r.patch for r in w.diff(first.short, second.short).collect()}["src/check.py"]
     assert {r.label for r in w.log(file="src/new.py").collect()} == {"end: two"}
+    assert [line.split("] ", 1)[1] for line in w.list_text().splitlines()] == ["end: two", "one"] and w.log_text().splitlines()[1].endswith("4 dosya  one")
 
     (root / "src/new.py").write_text("x = 2\n")
     with pytest.raises(RestoreRefused):
@@ -149,6 +160,10 @@ def test_workspace(spark, tmp_path):
     assert found.candidates == 2
     total = w.status()["snapshots"]
     assert w.prune("1h") == (0, total) and w.status()["size_kib"] == 0
+    newest = w.store.tip().seq
+    time.sleep(1.1)
+    removed, kept = w.prune("1s", keep_labeled=True)
+    assert removed + kept == total and {r.source for r in w.store.snapshots.collect()} == {"manual"} and w.store.tip().seq <= newest
 
 
 def test_stream_of_changes(spark, tmp_path):
