@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.staging import discard, fresh_path, stage
+from tessera.llm.staging import discard, fresh_path, small_batches, stage
 
 CHUNK_BYTES = 3 << 20
 MAX_BUCKETS = 4096
@@ -84,7 +84,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, held, size, rows = count + 1, [], 0, 0
         return pa.RecordBatch.from_pydict({"b": pa.array([task * FILES_PER_TASK + count % FILES_PER_TASK], pa.int64()), "chunk": pa.array([task << 24 | count], pa.int64()), "n_bytes": pa.array([len(chunk.data)], pa.int64()), "blob": pa.array([chunk.pack()], pa.binary()), "rest": pa.array([chunk.rest], pa.binary())})
 
-    for batch in batches:
+    for batch in K.released(batches):
         raw, offs = K.column_bytes(batch.column(1))
         more, done = batch.select(batch.schema.names[2:]), 0
         for part in K.groups(K.column_ids(batch.column(0)), raw, offs, 1 << 20):
@@ -128,6 +128,7 @@ class Store:
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> Store:
     """Stage (id, text) of df as chunks, with the columns of `carry`."""
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(carry or [])))
     path, table = fresh_path(spark, "chunks"), f"tessera_chunks_{uuid.uuid4().hex}"
     made = rows.mapInArrow(_chunks, CHUNK_SCHEMA)
@@ -163,6 +164,7 @@ def ask(
 
     def reply(table: pa.Table) -> pa.Table:
         bodies = answer(table.column("body").to_pylist())
+        K.release()
         return pa.table({"b": table.column("b"), "chunk": table.column("chunk"), "part": table.column("part"), "body": pa.array(bodies, pa.binary())})
 
     sent = chunks.mapInArrow(send, "part long, b long, chunk long, body binary")
@@ -178,7 +180,7 @@ def with_answers(chunks: DataFrame, *answers: DataFrame) -> DataFrame:
 
 def rows_of(batches: Iterator[pa.RecordBatch], asked: tuple[str, ...]) -> Iterator[tuple[int, int, Chunk, dict[str, list[tuple[int, bytes]]]]]:
     """Each chunk with its own answers, by round and in order of the partitions."""
-    for batch in batches:
+    for batch in K.released(batches):
         names = batch.schema.names
         for i in range(batch.num_rows):
             get = lambda c, i=i: batch.column(names.index(c))[i]

@@ -99,6 +99,30 @@ def prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+TILE = 1 << 18
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the spans [start, end), which are sorted by start; TILE bytes at a time, so memory is bounded."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        a = starts[i]
+        j = int(np.searchsorted(starts, a + TILE))
+        sums, down = prefix(data[a : ends[i:j].max()])
+        s = starts[i:j] - a
+        out[i:j] = (sums[ends[i:j] - a] - sums[s]) * down[s]
+        i = j
+    return out
+
+
+def counts_by(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """How many of each slice [offs[k], offs[k + 1]) are set."""
+    done = np.cumsum(mask, dtype=np.int32)
+    at = np.where(offs > 0, done[np.maximum(offs, 1) - 1], 0) if len(done) else np.zeros(len(offs), np.int32)
+    return np.diff(at).astype(np.int64)
+
+
 class Words:
     """The words of a group of documents: byte starts and ends, 64-bit hashes, and each document's first word."""
 
@@ -113,8 +137,7 @@ class Words:
         here = inside[1 : n + 1]
         self.starts = np.flatnonzero(here & ~before)
         self.ends = np.flatnonzero(here & ~after) + 1
-        sums, down = prefix(data)
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        self.hashes = mix(span_hashes(data, self.starts, self.ends) + (self.ends - self.starts).astype(np.uint64))
         self.first = np.searchsorted(self.starts, offs)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(offs) - 1), self.counts)

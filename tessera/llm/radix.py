@@ -8,6 +8,10 @@ exactly the repeated 100-byte windows.  Digits go from coarse to fine:
 2. the byte context of that gram, as a whole: most groups end here, all equal or alone;
 3. for the rest, the window's bytes eight at a time, dropping groups of one after each pass.
 
+A gram may occur in a third of all texts, each time in another context.  A gram that more than HOT chunks hold, or
+that has more than HOT runs in one chunk, is therefore ordered by the whole window at once: its windows are dealt out
+by their own hashes, one entry per chunk and distinct window, so that no group grows with the texts that hold a gram.
+
 A suffix alone in its group at any digit is unique and goes no further.  Within a group the window that starts first
 (smaller id, then smaller start) stays.  Rows with equal ids and equal starts don't remove each other.  Null and
 empty texts have no bytes; rows without an id count as one document above all others.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from tessera.llm import exchange as X
 from tessera.llm import kernels as K
 
-DEPTH, GRAM = 100, 36
+DEPTH, GRAM, HOT = 100, 36, 64
 SPAN = DEPTH - GRAM + 1
 TILE = 1 << 17
 PART_BYTES = 8 << 20
@@ -71,22 +75,83 @@ class _Chunk:
         self.key, self.place, self.first, self.last = minimisers(chunk.data, chunk.offs)
         self.grams = X.KeySet(self.key, n_parts)
 
-    def contexts(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, X.KeySet, np.ndarray, np.ndarray]:
-        """Runs whose gram occurs again, their contexts' keys, and the id and start of each run in its document."""
+    def choose(self, answers: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Runs whose gram occurs again, and those whose gram is hot."""
         g = self.grams
-        again = (X.read_bits(answers, g.bounds) | (g.first != g.final)) if len(g.keys) else np.zeros(0, bool)
-        runs = np.flatnonzero(again[g.group]) if len(g.group) else np.zeros(0, np.int64)
+        again, hot = _read_states(answers, g.bounds)
+        again |= g.first != g.final
+        none = np.zeros(0, np.int64)
+        return (np.flatnonzero((again & ~hot)[g.group]), np.flatnonzero(hot[g.group])) if len(g.keys) else (none, none)
+
+    def owner(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Document id and start in the document of a place in the chunk."""
+        doc = np.searchsorted(self.chunk.offs, start, side="right") - 1
+        return self.chunk.ids[doc], start - self.chunk.offs[doc]
+
+    def contexts(self, runs: np.ndarray) -> tuple[np.ndarray, X.KeySet, np.ndarray, np.ndarray]:
+        """The runs by id and start, their contexts' keys, and the id and start of each run in its document."""
         first, stop = self.first[runs], self.last[runs] + DEPTH
-        doc = np.searchsorted(self.chunk.offs, first, side="right") - 1
-        sums, down = K.prefix(self.chunk.data)
         shape = ((self.place[runs] - first) << 20 | (stop - first)).astype(np.uint64)
-        whole = K.mix((sums[stop] - sums[first]) * down[first] + K.mix(shape, 5), 3)
-        ids, at = self.chunk.ids[doc], first - self.chunk.offs[doc]
+        whole = K.mix(K.span_hashes(self.chunk.data, first, stop) + K.mix(shape, 5), 3)
+        ids, at = self.owner(first)
         order = np.lexsort((at, ids))
         runs, whole, ids, at = runs[order], whole[order], ids[order], at[order]
         keys = _Contexts(whole, self.key[runs], self.n_parts)
         return runs, keys, ids, at
 
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, X.KeySet, np.ndarray, np.ndarray]:
+        """The starts of the runs' windows by id and start, their keys, and their ids and starts in the documents."""
+        count = self.last[runs] - self.first[runs] + 1
+        start = np.repeat(self.first[runs] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        ids, at = self.owner(start)
+        key = K.mix(K.span_hashes(self.chunk.data, start, start + DEPTH), 11)
+        order = np.lexsort((at, ids))
+        return start[order], X.KeySet(key[order], self.n_parts), ids[order], at[order]
+
+
+def _read_states(answers: list[tuple[int, bytes]], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    half = lambda body: len(body) // 2
+    return X.read_bits([(p, b[: half(b)]) for p, b in answers], bounds), X.read_bits([(p, b[half(b) :]) for p, b in answers], bounds)
+
+
+def gram_states(bodies: list[bytes], hot: int) -> list[bytes]:
+    """Two masks for each message (4 bytes n, n flags, n short keys): keys of several messages, and hot keys."""
+    sizes = [int.from_bytes(b[:4], "little") for b in bodies]
+    flags = np.concatenate([K.unpack_bits(b[4 : 4 + -(-n // 8)], n) for b, n in zip(bodies, sizes)])
+    keys = np.zeros((sum(sizes), 8), dtype=np.uint8)
+    keys[:, :5] = np.frombuffer(b"".join(b[4 + -(-n // 8) :] for b, n in zip(bodies, sizes)), dtype=np.uint8).reshape(-1, 5)
+    flat = keys.view(np.uint64).ravel()
+    order = np.argsort(flat)
+    s = flat[order]
+    number = np.cumsum(np.concatenate([[False], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    times = np.bincount(number)
+    busy = (times > hot) | (np.bincount(number, weights=flags[order]) > 0)
+    again, much = np.empty(len(s), dtype=bool), np.empty(len(s), dtype=bool)
+    again[order], much[order] = times[number] > 1, busy[number]
+    cuts = np.cumsum(sizes)[:-1]
+    return [K.pack_bits(a) + K.pack_bits(m) for a, m in zip(np.split(again, cuts), np.split(much, cuts))]
+
+
+def earlier_keys(bodies: list[bytes]) -> list[bytes]:
+    """For each window key of each message: does another message hold it with an earlier id and start?"""
+    keys, ids, at, sizes = [], [], [], []
+    for body in bodies:
+        n = int.from_bytes(body[:8], "little")
+        sizes.append(n)
+        keys.append(np.frombuffer(body, np.uint64, n, 8))
+        rest = np.frombuffer(K.expand(body[8 + 8 * n :]), np.int64).reshape(2, n)
+        ids.append(rest[0])
+        at.append(rest[1])
+    k, i, a = np.concatenate(keys), np.concatenate(ids), np.concatenate(at)
+    order = np.lexsort((a, i, k))
+    k, i, a = k[order], i[order], a[order]
+    head = np.ones(len(k), dtype=bool)
+    head[1:] = k[1:] != k[:-1]
+    f = np.flatnonzero(head)[np.cumsum(head) - 1]
+    hit = np.empty(len(k), dtype=bool)
+    hit[order] = (i > i[f]) | ((i == i[f]) & (a > a[f]))
+    return [K.pack_bits(x) for x in np.split(hit, np.cumsum(sizes)[:-1])]
+
 
 class _Contexts(X.KeySet):
     """Contexts grouped by their own key, but dealt out by their gram's."""
@@ -221,31 +286,47 @@ def earlier_windows(bodies: list[bytes]) -> list[bytes]:
     return out
 
 
+def _covered(starts: list[np.ndarray], n: int) -> np.ndarray:
+    """The bytes of n that lie in a window from one of the starts on."""
+    flag = np.zeros(n, dtype=bool)
+    for s in starts:
+        flag[s] = True
+    before = np.zeros(n + 1, dtype=np.int32)
+    np.cumsum(flag, out=before[1:])
+    out = before[1:] > 0
+    out[DEPTH:] = before[DEPTH + 1 :] > before[1 : n + 1 - DEPTH]
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool, carry: int = 0) -> Iterator[pa.RecordBatch]:
     for _, _, chunk, got in X.rows_of(batches, ("grams", "contexts")):
         c = _Chunk(chunk, n_parts)
         n = len(chunk.data)
-        edge = np.zeros(n + 1, dtype=np.int64)
-        runs, keys, ids, at = c.contexts(got["grams"])
-        if len(runs):
+        later_starts = []
+        some, hot = c.choose(got["grams"])
+        if len(hot):
+            start, keys, ids, at = c.windows(hot)
+            f = keys.first[keys.group]
+            gone = (ids > ids[f]) | ((ids == ids[f]) & (at > at[f])) | X.read_bits([(p - n_parts, b) for p, b in got["contexts"] if p >= n_parts], keys.bounds)[keys.group]
+            later_starts.append(start[gone])
+        if len(some):
+            runs, keys, ids, at = c.contexts(some)
             windows = c.last[runs] - c.first[runs] + 1
             head_windows = windows[keys.first]
             bit_from = np.concatenate([[0], np.cumsum(head_windows)])
-            bits = X.read_bits(got["contexts"], bit_from[keys.bounds])
+            bits = X.read_bits([(p, b) for p, b in got["contexts"] if p < n_parts], bit_from[keys.bounds])
             f = keys.first[keys.group]
             later = (ids > ids[f]) | ((ids == ids[f]) & (at > at[f]))
             r = np.repeat(np.arange(len(runs)), windows)
             k = np.arange(len(r)) - np.repeat(np.cumsum(windows) - windows, windows)
             gone = later[r] | bits[bit_from[keys.group[r]] + k]
-            hit = c.first[runs][r[gone]] + k[gone]
-            edge += np.bincount(hit, minlength=n + 1) - np.bincount(hit + DEPTH, minlength=n + 1)
-        removed = np.cumsum(edge)[:-1] > 0
+            later_starts.append(c.first[runs][r[gone]] + k[gone])
+        removed = _covered(later_starts, n)
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
         starts = chunk.offs[:-1][np.diff(chunk.offs) > 0]
         begins[starts] = removed[starts]
-        count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[chunk.offs]).astype(np.int64)
-        n_removed, n_spans = count(removed), count(begins)
+        n_removed, n_spans = K.counts_by(removed, chunk.offs), K.counts_by(begins, chunk.offs)
         lens = np.diff(chunk.offs)
         kept = chunk.data[~removed].tobytes()
         stop = np.concatenate([[0], np.cumsum(lens - n_removed)]).tolist()
@@ -259,7 +340,7 @@ def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool, carry: in
             yield batch
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] | None = None) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with texts, kept_text; then the columns of `carry` as c0, c1...
 
     A removed run may begin or end inside a character; kept_text leaves out what is left of such a character.
@@ -270,20 +351,30 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def send_grams(chunk: X.Chunk, _: dict) -> Iterator[tuple[int, bytes]]:
         g = _Chunk(chunk, n_parts).grams
+        many = np.bincount(g.group, minlength=len(g.keys)) > hot
         for p, i, j in g.filled():
-            yield p, X.short_keys(g.keys[i:j])
+            yield p, (j - i).to_bytes(4, "little") + K.pack_bits(many[i:j]) + X.short_keys(g.keys[i:j])
 
     def send_contexts(chunk: X.Chunk, got: dict) -> Iterator[tuple[int, bytes]]:
         c = _Chunk(chunk, n_parts)
-        runs, keys, ids, at = c.contexts(got["grams"])
+        some, busy = c.choose(got["grams"])
+        if len(busy):
+            _, keys, ids, at = c.windows(busy)
+            for p, i, j in keys.filled():
+                h = keys.first[i:j]
+                yield n_parts + p, b"w" + (j - i).to_bytes(8, "little") + keys.keys[i:j].tobytes() + K.squeeze(ids[h].tobytes() + at[h].tobytes())
+        runs, keys, ids, at = c.contexts(some)
         for p, i, j in keys.filled():
             h = keys.first[i:j]
             r = runs[h]
             windows = c.last[r] - c.first[r] + 1
-            yield p, _message([c.key[r], ids[h], at[h], c.place[r] - c.first[r], windows], _gather_spans(chunk.data, c.first[r], windows + DEPTH - 1))
+            yield p, b"c" + _message([c.key[r], ids[h], at[h], c.place[r] - c.first[r], windows], _gather_spans(chunk.data, c.first[r], windows + DEPTH - 1))
+
+    def compare(bodies: list[bytes]) -> list[bytes]:
+        return (earlier_keys if bodies[0][:1] == b"w" else earlier_windows)([b[1:] for b in bodies])
 
-    grams = X.ask(chunks, send_grams, X.seen_twice, (), "grams")
-    contexts = X.ask(X.with_answers(chunks, grams), send_contexts, earlier_windows, ("grams",), "contexts")
+    grams = X.ask(chunks, send_grams, lambda bodies: gram_states(bodies, hot), (), "grams")
+    contexts = X.ask(X.with_answers(chunks, grams), send_contexts, compare, ("grams",), "contexts")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     schema += "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
     n_carried = len(carry or [])

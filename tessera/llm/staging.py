@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.sources.staging import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one of our own only where that setting is absent."""
@@ -41,10 +43,11 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit of bytes in an Arrow batch to BATCH_BYTES, if it is higher.
+    """Prepare for Python workers: send them this package, and lower the limit of bytes in an Arrow batch to BATCH_BYTES.
 
     A batch is held by the JVM and by the Python worker at once, and long texts make one of 10,000 rows very large.
     """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(re.sub(r"\D", "", spark.conf.get(key))) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
