@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import stage
+from tessera.llm import kernels as K
+from tessera.llm.staging import small_batches, stage
 
 MIN_TOKENS, MIN_PAGES = 8, 3
 
@@ -144,7 +145,7 @@ def _host(url: str | None) -> str:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.released(batches):
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
             urls = part.column(1).to_pylist()
@@ -159,7 +160,7 @@ def _prefix(host: str, tokens: list[str]) -> int:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct suffix prefixes of each page: (host and prefix hashed, row)."""
-    for batch in batches:
+    for batch in K.released(batches):
         for row, host, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             tokens = text.split(" ")
             keys = {_prefix(host, tokens[i : i + MIN_TOKENS]) for i in range(len(tokens) - MIN_TOKENS + 1)}
@@ -168,7 +169,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in K.released(batches):
         rows, hosts, texts, repeated = (batch.column(k).to_pylist() for k in range(4))
         out = []
         for host, text, keys in zip(hosts, texts, repeated):
@@ -183,6 +184,7 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars (its code points)."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, declared boolean, text string")
     parsed = stage(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
