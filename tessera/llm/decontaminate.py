@@ -3,10 +3,11 @@
 Words are runs of a-z, 0-9 and non-ASCII characters after A-Z are lower-cased.  Of every 13 consecutive words the
 5-word gram with the least hash (the leftmost of equals) is kept, in documents and in benchmark items alike, so that
 two equal 13-word windows always keep the same gram at the same place: every shared window shows as a shared
-fingerprint.  The hit is then extended: the document's words at that place are compared with the whole window.
+fingerprint.  The hit is then extended: the windows around a document's word that hold a shared fingerprint are looked
+up whole, so that a gram that very many items and documents hold never makes pairs of them.
 
-Items of fewer than 13 words are one window each; documents that hold all distinct words of such an item are
-candidates, and every place of the item in them is looked up.  Equal windows of several items are one window until
+Items of fewer than 13 words are one window each; in documents that hold the item's rarest word every place of the
+item is looked up.  Equal windows of several items are one window until
 the last step.  The fingerprints of the benchmark are broadcast only while they are few (counted); beyond that they
 are joined by shuffle.  Null texts have no words; equal rows give equal results; null item ids name no item.
 """
@@ -20,7 +21,7 @@ from tessera.llm.staging import stage
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MASK = (1 << 31) - 1
@@ -55,8 +56,10 @@ def _fingerprints() -> Column:
     return F.transform("kept", lambda v: F.struct(F.get(F.col("grams"), v.bitwiseAND(_MASK).cast("int")).alias("gram"), v.bitwiseAND(_MASK).cast("int").alias("place")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """Broadcast up to BROADCAST_ROWS rows, or elements of the array `weight`; more are joined by shuffle."""
+    n = df.agg(F.sum(F.size(weight) + 1)).first()[0] or 0 if weight else df.count()
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -66,8 +69,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     owned = stage(items.select("item", F.explode(F.array_distinct(cut)).alias("w")).withColumn("window", F.xxhash64(F.array_join("w", " "))), "windows")
     windows = stage(owned.groupBy("window", "w").agg(F.count("*").alias("owners")).select("window", "w"), "distinct")
     long, short = windows.where(F.size("w") == WINDOW), windows.where(F.size("w") < WINDOW)
-    marks = _with_winnow(long).select("window", F.explode(_fingerprints()).alias("f")).select("window", "f.gram", F.col("f.place").alias("shift"))
-    marks = stage(marks, "marks")
+    grams = stage(_with_winnow(long).select(F.explode(_fingerprints()).alias("f")).select("f.gram").distinct(), "grams")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = rows.select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"))
@@ -76,25 +78,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     extra = {"terms": F.array_distinct("w")} if n_short else {}
     drawn = stage(drawn.select("doc_id", "body", F.size("w").cast("long").alias("n_words"), _fingerprints().alias("fingerprints"), *(c.alias(k) for k, c in extra.items())), "winnowed")
 
-    hits = drawn.select("doc_id", "body", F.explode("fingerprints").alias("f")).select("doc_id", "body", "f.gram", "f.place")
-    hits = hits.join(_small(marks), "gram").select("doc_id", "body", "window", (F.col("place") - F.col("shift")).alias("start")).where("start >= 0")
+    marked = drawn.select("doc_id", "body", F.explode("fingerprints").alias("f")).select("doc_id", "body", "f.gram", "f.place").join(_small(grams), "gram", "left_semi")
+    marked = stage(marked.groupBy("doc_id", "body").agg(F.collect_set("place").alias("places")), "marked")
+    around = F.transform("places", lambda p: F.sequence(F.greatest(p - SPAN + 1, F.lit(0)), F.least(p, F.size("w") - WINDOW)))
+    tried = _texts_of(rows, marked).select("doc_id", "body", "w", F.explode(F.array_distinct(F.flatten(around))).alias("start"))
+    tried = tried.select("doc_id", "body", "start", F.slice("w", F.col("start") + 1, WINDOW).alias("is")).withColumn("window", F.xxhash64(F.array_join("is", " ")))
+    spans = tried.join(_small(long), "window").where(F.col("is") == F.col("w")).select("doc_id", "body", "start", F.lit(WINDOW).alias("n"), "window")
     if n_short:
-        needed = short.select("window", F.explode(F.array_distinct("w")).alias("term"), F.size(F.array_distinct("w")).alias("n_terms"))
-        have = drawn.select("doc_id", "body", F.explode("terms").alias("term")).distinct()
-        whole = have.join(_small(needed), "term").groupBy("doc_id", "body", "window").agg(F.count("*").alias("k"), F.first("n_terms").alias("n_terms")).where("k = n_terms")
-        hits = hits.union(whole.select("doc_id", "body", "window", F.lit(-1).alias("start")))
-    hits = stage(hits.distinct(), "hits")
-    listed = hits.join(_small(windows), "window").groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "window", F.col("w").alias("is"))).alias("claims"))
-
-    found = listed.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "claims")
-    texts = rows.withColumn("b", F.xxhash64("text"))
-    held = texts.join(_small(found), (texts.doc_id.eqNullSafe(found.d)) & (texts.b == found.b)).select("doc_id", texts.b.alias("body"), words(F.col("text")).alias("w"), "claims")
-    held = held.dropDuplicates(["doc_id", "body"])
-    places = lambda c: F.when(c["start"] >= 0, F.array(c["start"])).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i) == F.get(c["is"], F.lit(0))), lambda i: i))
-    true = F.flatten(F.transform("claims", lambda c: F.transform(F.filter(places(c), lambda p: F.slice(F.col("w"), p + 1, F.size(c["is"])) == c["is"]), lambda p: F.struct(p.alias("start"), F.size(c["is"]).alias("n"), c["window"].alias("window")))))
-    held = stage(held.select("doc_id", "body", true.alias("spans")).where("size(spans) > 0"), "held")
+        spans = spans.unionAll(_short_spans(rows, drawn, stage(short, "short")))
+    spans = stage(spans, "spans")
+    held = spans.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
-    named = held.select("doc_id", "body", F.explode(F.array_distinct(F.transform("spans", lambda s: s["window"]))).alias("window"))
+    named = spans.select("doc_id", "body", "window").distinct()
     named = named.join(_small(owned.select("window", "item").where("item is not null")), "window").select("doc_id", "body", "item").distinct()
     named = named.groupBy("doc_id", "body").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
 
@@ -105,6 +100,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "body", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
 
 
+def _texts_of(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found(doc_id, body, ...) with the words w of those texts; rows that are equal in id and text count once."""
+    r = found.withColumnsRenamed({"doc_id": "d", "body": "b"})
+    texts = rows.withColumn("body", F.xxhash64("text"))
+    both = texts.join(_small(r, r.columns[-1]), texts.doc_id.eqNullSafe(r.d) & (texts.body == r.b)).drop("d", "b")
+    return both.dropDuplicates(["doc_id", "body"]).withColumn("w", words(F.col("text"))).drop("text")
+
+
+def _short_spans(rows: DataFrame, drawn: DataFrame, short: DataFrame) -> DataFrame:
+    """Spans of items of fewer than WINDOW words: in the texts that hold the item's rarest word, every place of it."""
+    needed = short.select("window", F.explode(F.array_distinct("w")).alias("term"))
+    have = drawn.select("doc_id", "body", F.explode("terms").alias("term")).join(_small(needed.select("term").distinct()), "term", "left_semi").distinct()
+    have = stage(have, "terms")
+    times = have.groupBy("term").agg(F.count("*").alias("times"))
+    rarest = needed.join(times, "term", "left").groupBy("window").agg(F.min_by("term", F.struct(F.coalesce("times", F.lit(0)), "term")).alias("term"))
+    asked = have.join(_small(stage(rarest.join(short, "window").select("term", "window", F.col("w").alias("is")), "rarest")), "term")
+    asked = stage(asked.groupBy("doc_id", "body").agg(F.collect_list(F.struct("window", "is")).alias("claims")), "claims")
+    places = lambda c: F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.get(F.col("w"), i) == F.get(c["is"], F.lit(0))) & (F.slice(F.col("w"), i + 1, F.size(c["is"])) == c["is"]))
+    true = F.flatten(F.transform("claims", lambda c: F.transform(places(c), lambda i: F.struct(i.alias("start"), F.size(c["is"]).alias("n"), c["window"].alias("window")))))
+    return _texts_of(rows, asked).select("doc_id", "body", F.inline(true))
+
+
 def _same(left: DataFrame, right: DataFrame, take: list[str]) -> DataFrame:
     r = right.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), *take)
     return left.join(r, left.doc_id.eqNullSafe(r.d) & (left.body == r.b), "left").drop("d", "b")
