@@ -1,6 +1,6 @@
 """A distributed yes/no exchange between chunks of text and partitions of a hash space.
 
-Chunks (a few MB of whole documents, compressed) are written once, bucketed by the task that made them.  A round
+Chunks (2 MB of whole documents, compressed) are written once, bucketed by the task that made them.  A round
 sends, for every chunk and hash partition, one packed message with the chunk's distinct keys; the partition answers
 with one packed message for that chunk.  Copies inside a chunk collapse before the shuffle, so that a key that a
 third of all documents hold sends one entry per chunk and not one per document; answers return to the chunk by the
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.staging import discard, fresh_path, small_batches, stage
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 MAX_BUCKETS = 4096
 FILES_PER_TASK = 4
 CHUNK_SCHEMA = "b long, chunk long, n_bytes long, blob binary, rest binary"

@@ -30,8 +30,7 @@ from tessera.llm import kernels as K
 from tessera.llm.components import components
 from tessera.llm.staging import stage
 
-WIDTH, ROWS, BANDS = 5, 5, 24
-T = ROWS * BANDS
+WIDTH, ROWS, MISS = 5, 5, 1e-6
 BROADCAST_PIVOTS = 200_000  # of rows of 40 bytes
 
 
@@ -59,7 +58,12 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tupl
     return h[head], np.searchsorted(d[head], np.arange(n_docs + 1))
 
 
-def sketches(h: np.ndarray, edges: np.ndarray, t: int = T) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands of ROWS coordinates with which a pair at the threshold shares none with a probability of MISS at most."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def sketches(h: np.ndarray, edges: np.ndarray, t: int) -> np.ndarray:
     """Fast similarity sketches of many sets: an array of documents by t; rows of empty sets stay at the maximum."""
     n_docs = len(edges) - 1
     empty = K.U(0xFFFFFFFFFFFFFFFF)
@@ -82,19 +86,19 @@ def sketches(h: np.ndarray, edges: np.ndarray, t: int = T) -> np.ndarray:
     return out.reshape(n_docs, t)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     for b, chunk_id, chunk, _ in X.rows_of(batches, ()):
         base = 0
         for ids, data, offs in K.groups(chunk.ids, chunk.data, chunk.offs):
             h, edges = shingle_sets(data, offs)
             n = np.diff(edges)
-            s = sketches(h, edges)
-            band = np.zeros((len(ids), BANDS), dtype=np.uint64)
+            s = sketches(h, edges, ROWS * bands)
+            band = np.zeros((len(ids), bands), dtype=np.uint64)
             for r in range(ROWS):
-                band = K.mix(band * K.U(K.WORD_BASE) + s.reshape(len(ids), BANDS, ROWS)[:, :, r], 9)
+                band = K.mix(band * K.U(K.WORD_BASE) + s.reshape(len(ids), bands, ROWS)[:, :, r], 9)
             sums = [np.concatenate([[K.U(0)], np.cumsum(K.mix(h, salt))]) for salt in (21, 22)]
             f1, f2 = (x[edges[1:]] - x[edges[:-1]] for x in sums)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * BANDS + 1, BANDS), pa.int32()), pa.array(band.ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * bands + 1, bands), pa.int32()), pa.array(band.ravel().view(np.int64)))
             uid = (chunk_id << X.ROW_BITS) + base + np.arange(len(ids))
             base += len(ids)
             o = offs.tolist()
@@ -136,7 +140,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = X.store(df, id_col, text_col)
     chunks = held.read()
     schema = "uid long, b long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, body long"
-    drawn = stage(chunks.mapInArrow(_sketch, schema), "sketches")
+    n_bands = bands_for(percent)
+    drawn = stage(chunks.mapInArrow(lambda it: _sketch(it, n_bands), schema), "sketches")
     set_key = ["n_shingles", "f1", "f2"]
     classes = drawn.where("n_shingles > 0").groupBy(*set_key).agg(F.min(F.struct("doc_id", "uid", "b", "bands")).alias("m"))
     classes = stage(classes.select(*set_key, "m.doc_id", "m.uid", "m.b", "m.bands"), "classes")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.staging import small_batches, stage
 
-WINDOW, GROUP_PIECES, CACHE, PIECES = 2048, 8192, 1_500_000, 300_000
+WINDOW, GROUP_PIECES, CACHE, PIECES = 2048, 8192, 1_000_000, 250_000
 
 
 class WordIds:
@@ -60,7 +60,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ class WordIds:
             with _no_collector():
                 self._add(runs[new], self.learn([raw[i:j] for i, j in zip(w.starts[at[new]].tolist(), w.ends[at[new]].tolist())]))
             row = self._rows(runs)
-        start, size = self.start[row][back], self.size[row][back]
+        start, size = self.start[row][back].astype(np.int64), self.size[row][back]
         stop = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(start - stop[:-1], size) + np.arange(stop[-1])]
         return ids, stop[w.first]
@@ -91,12 +91,12 @@ class WordIds:
 
     def _add(self, runs: np.ndarray, encoded: list[bytes]) -> None:
         ids = np.frombuffer(b"".join(encoded), dtype="<u4")
-        size = np.array([len(e) for e in encoded], dtype=np.int64) // 4
+        size = np.array([len(e) // 4 for e in encoded], dtype=np.int32)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used) + (1 << 16), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         where = np.searchsorted(self.keys, runs)
-        self.start = np.insert(self.start, where, self.used + np.cumsum(size) - size)
+        self.start = np.insert(self.start, where, (self.used + np.cumsum(size) - size).astype(np.int32))
         self.size, self.keys = np.insert(self.size, where, size), np.insert(self.keys, where, runs)
         self.used += len(ids)
 
@@ -142,7 +142,7 @@ _WORDS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """The tokenizer with its caches of at most CACHE runs and PIECES pieces, kept from task to task of a worker."""
+    """The tokenizer with its runs (CACHE at most, some 30 bytes each), kept from task to task of a worker."""
     if path not in _WORDS:
         _WORDS[path] = WordIds(path)
     return _WORDS[path]
@@ -167,6 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
+        words.known.clear()  # pieces are kept during a task only: PIECES at most, some 200 bytes each
         for batch in K.released(batches):
             raw, offs = K.column_bytes(batch.column(1))
             ids = K.column_ids(batch.column(0))
@@ -180,6 +181,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                     rows += [(doc, a, min(window, n - a), zlib.crc32(text[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([K.ids_out(np.array(cols[0], dtype=np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        words.known.clear()
+        K.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -336,7 +336,7 @@ def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool, carry: in
             columns["kept_text"] = pa.array([t.decode("utf-8", "ignore") for t in pieces], pa.string())
         if carry:
             columns |= {f"c{k}": chunk.carried().column(k) for k in range(carry)}
-        for batch in pa.table(columns).to_batches(max_chunksize=4096):
+        for batch in pa.table(columns).to_batches(max_chunksize=512):
             yield batch
 
 

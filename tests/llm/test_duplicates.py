@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.anchors import substring_dedup
-from tessera.llm.minhash import near_duplicates, sketches
+from tessera.llm.minhash import bands_for, near_duplicates, sketches
 from tessera.llm.radix import suffix_dedup
 from tests.llm.corpus import DOCS, awkward, collected, documents, words
 
@@ -140,6 +140,11 @@ def test_sketches_fill_every_coordinate_and_estimate_similarity():
     assert abs((s[4] == s[5]).mean() - 800 / 1200) < 0.06
 
 
+def test_bands_follow_the_threshold():
+    assert [bands_for(p) for p in (80, 85, 100)] == [35, 24, 1]
+    assert all((1 - (p / 100) ** 5) ** bands_for(p) <= 1e-6 for p in range(50, 100))
+
+
 def test_substring_dedup(spark, rows):
     got = substring_dedup(frame(spark, rows), texts=True)
     assert collected(got.drop("kept_text")) == brute_anchor(rows)
