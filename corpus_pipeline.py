@@ -49,9 +49,10 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte runs that start earlier; documents keep their row and their other columns."""
-    names = docs.columns
-    out = suffix_dedup(docs, texts=True, carry=names)
-    back = out.select(*(F.col("kept_text" if c == "text" else f"c{k}").alias(c) for k, c in enumerate(names)))
+    names, rest = docs.columns, [c for c in docs.columns if c != "text"]
+    out = suffix_dedup(docs, texts=True, carry=rest)
+    places = {"text": "kept_text"} | {c: f"c{k}" for k, c in enumerate(rest)}
+    back = out.select(*(F.col(places[c]).alias(c) for c in names))
     return back.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else back
 
 
