@@ -5,7 +5,10 @@ vector is coded by a product quantiser of sub-vectors with 16 code words each, f
 that the loss weighs the error's part parallel to the vector eta times the orthogonal part (the parallel part is what
 moves the largest inner products): codes by coordinate descent on that loss, code words by its weighted least-squares
 solution.  How many cells are probed, and which share of a block is reranked, are the least that keep RECALL of the
-true neighbours in the sample.
+true neighbours in the sample; a row that ties with a neighbour counts as before it.  The sample can't show groups of
+near copies that are small beside the table, so every row is reranked, too, whose approximate score is that of the cut
+or within the margin of the block's k-th best that RECALL of the neighbours in the sample keep: a group that shares a
+few codes is scored exactly as a whole, whatever its size.
 
 A cell is stored in blocks of at most BLOCK rows (large cells are split by a hash of the id, so that a cell that a
 third of all rows fall into is many blocks).  A query block meets the blocks of its cells: per sub-vector a table of
@@ -131,13 +134,14 @@ def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
-def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> float:
+def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> tuple[float, float]:
     """The share of a cell's rows, best approximate score first, that holds `recall` of the sampled true neighbours.
 
-    Blocks are random parts of a cell, so the share holds for them; nearer neighbours in the whole table need less.
+    Also how far below the cell's k-th best other approximate score that many of them lie at most.  Blocks are random
+    parts of a cell, so the share holds for them; nearer neighbours in the whole table need less.
     """
     if len(sample) < 2:
-        return 1.0
+        return 1.0, float("inf")
     unit = index.unit(sample)
     home = index.cells(unit, 1)[:, 0]
     codes = index.encode(unit, home)
@@ -146,7 +150,7 @@ def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int
     top = np.argpartition(-score, min(k, len(unit) - 1), axis=1)[:, : k + 1]
     n_sub = index.words.shape[0]
     table = np.einsum("qsj,scj->qsc", asked.reshape(len(asked), n_sub, SUB), index.words)
-    need = []
+    need, below = [], []
     for cell in np.unique(home):
         mine = np.flatnonzero(home == cell)
         place = np.full(len(unit), -1)
@@ -154,9 +158,17 @@ def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int
         for q, t in enumerate(place[top]):
             if (t := t[t >= 0]).size:
                 approx = table[q][np.arange(n_sub), codes[mine]].sum(axis=1)
-                need += (((approx[None] > approx[t][:, None]).sum(axis=1) + 1) / len(mine)).tolist()
-    share = np.sort(need)
-    return float(share[min(len(share) - 1, int(np.ceil(recall * len(share))))]) if len(share) else 1.0
+                need += ((approx[None] >= approx[t][:, None]).sum(axis=1) / len(mine)).tolist()
+                below += np.maximum(_kth(approx[None], k + 1) - approx[t], 0.0).tolist()
+    share, margin = np.sort(need), np.sort(below)
+    at = min(len(share) - 1, int(np.ceil(recall * len(share))))
+    return (float(share[at]), float(margin[at])) if len(share) else (1.0, float("inf"))
+
+
+def _kth(approx: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row, or its least where it has fewer."""
+    at = max(0, approx.shape[1] - k)
+    return np.partition(approx, at, axis=1)[:, at]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -185,7 +197,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).toArrow()
     drawn = _matrix(sample.column("v").combine_chunks())
     index = fit(drawn, n)
-    n_probe, share = probes(index, drawn, k, recall), depth(index, drawn, k, recall)
+    n_probe, (share, margin) = probes(index, drawn, k, recall), depth(index, drawn, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.released(batches):
@@ -234,7 +246,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 qids, ids = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[2], np.int64)
                 qx, x = (np.frombuffer(b, np.float64).reshape(-1, index.dim) for b in (raw[1], raw[4]))
                 packed = np.frombuffer(raw[3], np.uint8).reshape(len(ids), -1)
-                got = scan(index, qids, qx, ids, packed, x, k, share)
+                got = scan(index, qids, qx, ids, packed, x, k, share, margin)
                 yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
     met = queries.join(blocks, "cell").select("qids", "qxs", "ids", "codes", "xs").mapInArrow(search, out_schema)
@@ -244,7 +256,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
 
 
-def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed: np.ndarray, x: np.ndarray, k: int, share: float, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a block for each query.  Equal queries are looked up once.
 
     The query's product with the cell's centre is the same for the whole block and left out.
@@ -258,16 +270,12 @@ def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed
     for s in range(n_sub):
         approx += table[s][:, (packed[:, s // 2] >> (4 * (s % 2))) & 15]
     keep = min(len(ids), max(LEAST_RERANK, int(np.ceil(share * len(ids)))) + 1)
-    if keep < len(ids):  # ties of the approximate score go to the smaller id, which comes first
-        cut = np.partition(approx, len(ids) - keep, axis=1)[:, len(ids) - keep]
+    if keep < len(ids):  # single precision: a hair more than the margin
+        cut = np.minimum(_kth(approx, keep), _kth(approx, k + 1) - np.float32(margin + 1e-5))
     norms = np.sqrt((x * x).sum(axis=1))
     by_query: list[tuple[np.ndarray, np.ndarray]] = []
     for j, q in enumerate(distinct):
-        if keep < len(ids):
-            over, level = np.flatnonzero(approx[j] > cut[j]), np.flatnonzero(approx[j] == cut[j])
-            some = np.sort(np.concatenate([over, level[: keep - len(over)]]))
-        else:
-            some = np.arange(len(ids))
+        some = np.flatnonzero(approx[j] >= cut[j]) if keep < len(ids) else np.arange(len(ids))
         score = (x[some] * q).sum(axis=1) / (norms[some] * np.sqrt((q * q).sum()))
         order = np.lexsort((ids[some], -score))
         by_query.append((ids[some][order], score[order]))

@@ -51,6 +51,20 @@ def test_recall(spark, kind):
             assert abs(s - x[i] @ x[q] / (np.linalg.norm(x[i]) * np.linalg.norm(x[q]))) < 1e-12
 
 
+@pytest.mark.parametrize("drawn", [ann.TRAIN_ROWS, 600])
+@pytest.mark.parametrize("noise", [0.001, 0.01])
+def test_recall_among_near_copies(spark, monkeypatch, drawn, noise):
+    """A third of the rows are near copies in groups larger than the least cut, which a small sample hardly shows."""
+    monkeypatch.setattr(ann, "TRAIN_ROWS", drawn)
+    rng = np.random.default_rng(5)
+    n, d = 12_000, 24
+    x = rng.normal(size=(n, d))
+    third = np.arange(0, n, 3)
+    x[third] = rng.normal(size=(8, d))[rng.integers(0, 8, len(third))] + noise * x[third]
+    ids = rng.permutation(n)
+    assert recall(found(ann.nearest(frame(spark, ids, x), F.col("id") % 50 == 0)), brute(ids, x)) >= 0.9
+
+
 def test_the_table(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = table.collect()
