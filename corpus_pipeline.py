@@ -32,11 +32,14 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (Jaccard of at least 0.8 over 5-word shingles): that with the least id."""
+    """One document of each near-duplicate group (Jaccard of at least 0.8 over 5-word shingles): that with the least id.
+
+    Groups are the components themselves, not their ids: texts without an id, or with one id, needn't resemble each other.
+    """
     found = stage(near_duplicates(docs, percent=80).where("n_shingles > 0"), "found")
-    texts = found.groupBy("component_id", "doc_id", "body").agg(F.count("*").alias("copies"))
-    least = texts.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("m")).select(F.col("component_id").alias("c"), F.col("m.doc_id").alias("d"), F.col("m.body").alias("b"))
-    joined = texts.join(least, F.col("component_id").eqNullSafe(F.col("c")))
+    texts = found.groupBy("label", "doc_id", "body").agg(F.count("*").alias("copies"))
+    least = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("m")).select("label", F.col("m.doc_id").alias("d"), F.col("m.body").alias("b"))
+    joined = texts.join(least, "label")
     kept = _without(docs, joined.where("not (doc_id <=> d and body = b)"))
     again = stage(joined.where("doc_id <=> d and body = b and copies > 1").select("doc_id", "body"), "again")
     if not again.limit(1).count():

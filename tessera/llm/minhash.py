@@ -136,7 +136,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataF
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id, kept (it is the component's least id), body (xxhash64 of the text)."""
+    """Per row of df: doc_id, n_shingles, component_id, kept (it is the component's least id), body (xxhash64 of the text), label.
+
+    Ids may be null or repeated, so that unrelated components can have the same component_id; label tells them apart.
+    It is the least node of the component, and null for a text without shingles.
+    """
     held = X.store(df, id_col, text_col)
     chunks = held.read()
     schema = "uid long, b long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, body long"
@@ -173,10 +177,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     owned = classes.select(*set_key, "doc_id", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(*set_key, "doc_id", F.coalesce("label", "uid").alias("label"))
     least = owned.groupBy("label").agg(F.min("doc_id").alias("component"))
-    owned = owned.join(least, "label").select(*set_key, "component")
+    owned = owned.join(least, "label").select(*set_key, "component", "label")
     out = drawn.select("doc_id", "body", *set_key).join(owned, set_key, "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = lambda c: F.when(F.col(c) != K.NO_ID, F.col(c))
-    out = out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "body")
+    out = out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "body", "label")
     return held.finish(out, keep=False)
 
 

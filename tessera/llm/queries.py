@@ -45,7 +45,7 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at a Jaccard similarity of 0.85 over 5-word shingles."""
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("body")
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85).drop("body", "label")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,19 @@ def test_one_document_of_each_group_stays(stages):
     assert len(set(words_left)) == len(words_left)
 
 
+def test_unrelated_texts_without_an_id_or_with_one_id_stay(spark):
+    rng = random.Random(12)
+    alone = [words(rng, 40, 10**6) for _ in range(9)]
+    group = words(rng, 200, 10**6)
+    near = [group, group + " more", "other " + group]
+    rows = [(None, alone[0]), (None, alone[1]), (None, alone[2]), (7, alone[3]), (7, alone[4]), (7, alone[5]), (3, alone[6]), (None, alone[7]), (None, alone[7]), (3, alone[8])]
+    rows += [(None, near[0]), (7, near[1]), (3, near[2])]  # the least id of the group is also that of unrelated texts
+    got = corpus_pipeline._near(spark, documents(spark, [t for _, t in rows], [d for d, _ in rows]), "")
+    wanted = [r for r in rows if r[1] not in near[:2]]
+    wanted.remove((None, alone[7]))
+    assert sorted(map(repr, texts(got))) == sorted(map(repr, wanted))
+
+
 def test_repeated_passages_go(stages):
     before, after = texts(stages["near_duplicates"]), dict(texts(stages["suffix_dedup"]))
     removed = {d: n for d, _, n, _, _ in brute_suffix(before)}
