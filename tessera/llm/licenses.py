@@ -1,6 +1,6 @@
 """Licence scan: canonical digests of whole texts, hash-joined to the digests of known licences.
 
-The canonical form lower-cases A-Z, drops copyright lines, turns runs of punctuation and white space into one space
+The canonical form lower-cases A-Z, drops copyright statements, turns runs of punctuation and white space into one space
 and maps equivalent spellings to one.  The SHA-256 of the canonical whole text is joined to the registry's digests
 (the registry is a constant of this module, so its broadcast has a fixed size).  Lines that are a known notice by
 themselves are reported too, by the same digests.  DataFrame functions only.
@@ -48,8 +48,36 @@ REGISTRY: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
+# canonical digests of whole texts too long to hold here: Apache-2.0 with and without its appendix and without its last
+# line, the Unlicense, and those that Debian distributes
+WHOLE: list[tuple[str, str]] = [
+    ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Apache-2.0", "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),
+    ("Unlicense", "e2380bdfe57ca73b01d0b1848a4ee630998d729b260e63082b9267100b4a7229"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2-only", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3-only", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0-only", "98db0b473e0a45a62b04a39b6b864b4e079a58d513e2196f94fe7252fa8574a6"),
+    ("GPL-2.0-only", "e95eb1718f9f373d56cc586a5f7d1bfa11668867f6e85e982d2b6108b97d90a1"),
+    ("GPL-3.0-only", "0a85ab25a52f42a58c2cc4bf76b4808eb5d0505467f60ad614ac4d676f443478"),
+    ("LGPL-2.0-only", "e4deecd0730802431ad09f00ae3793f3703c8e4dba639586545d9f958405614d"),
+    ("LGPL-2.1-only", "d3826e4e563a04a354453ff139a32b19d6c3fe283f518eb566107c54e18cd01f"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "ad164cdd08feae08d94e21fea94df4f43d81588fbf2e9fe25da8af5330fc1d63"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t#/*;-]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*"
+# a statement of copyright, not running text that happens to begin a line with the word: a sign, a year or a place for
+# one, or a holder that ends the line
+COPYRIGHT = (
+    r"(^|\n)[ \t#/*;-]*((portions )?copyright[ \t:,]*(by[ \t]+)?(\(c\)|©|&copy;|[\[{<]|(19|20)[0-9][0-9])[^\n]*|(\(c\)|©)[ \t,]*(copyright[ \t]*)?[\[{<]?((19|20)[0-9][0-9]|yyyy|year)[^\n]*|©[^\n]*"
+    r"|(portions )?copyright[ \t:][^\n]*((19|20)[0-9][0-9]|authors|contributors|inc|llc|ltd|foundation|corporation|team|developers)[ \t.,\r]*(?=\n|$)|all rights reserved[ \t.,\r]*(?=\n|$))"
+)
+STATED = r"(^|\n)[ \t#/*;-]*(copyright|\(c\)|©|portions copyright|all rights reserved)[^\n]*"  # the SQL's; the two agree where no line of text begins with such a word
 PUNCTUATION = r"([^a-z0-9\x{80}-\x{10FFFF}]|[‘’“”–—…])+"
 SPELLINGS = [
     ("licence", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"), ("acknowledgement", "acknowledgment"),
@@ -74,7 +102,9 @@ def digest(text: Column) -> Column:
 def registry(spark: SparkSession) -> DataFrame:
     """digest, license_id of the known texts."""
     known = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("known")) for i, t in REGISTRY))
-    return spark.range(1).select(F.inline(known)).select(digest(F.col("known")).alias("digest"), "license_id").dropDuplicates(["digest"])
+    short = spark.range(1).select(F.inline(known)).select(digest(F.col("known")).alias("digest"), "license_id")
+    whole = F.array(*(F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id")) for i, d in WHOLE))
+    return short.unionByName(spark.range(1).select(F.inline(whole))).dropDuplicates(["digest"])
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -91,12 +121,12 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, without WHOLE and with STATED for COPYRIGHT."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def norm(x: str) -> str:
         out = f"translate(coalesce({x}, ''), '{UPPER}', '{LOWER}')"
-        out = f"regexp_replace({out}, {q(COPYRIGHT)}, '\\1', 'g')"
+        out = f"regexp_replace({out}, {q(STATED)}, '\\1', 'g')"
         out = f"trim(regexp_replace({out}, {q(PUNCTUATION)}, ' ', 'g'))"
         for a, b in SPELLINGS:
             out = f"replace({out}, {q(a)}, {q(b)})"

@@ -1,8 +1,10 @@
 """op1, op3 and op4 against brute force and hand-made texts."""
 
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -25,6 +27,47 @@ def test_equivalent_spellings_have_one_digest(spark):
     assert got[1].digest == got[2].digest == got[3].digest and got[6].digest == got[7].digest == hashlib.sha256(b"").hexdigest()
 
 
+UNLICENSE = '''This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <http://unlicense.org/>'''
+
+
+def test_whole_texts_in_any_wrapping(spark):
+    isc = licenses._ISC.replace("above copyright", "above\ncopyright") + "\n\n" + licenses._ISC_TAIL
+    texts = [UNLICENSE, textwrap.fill(UNLICENSE, 50), isc, f"ISC License\n\nCopyright (c) 2004-2010 by Somebody\nCopyright 1999 Other\n© Third\nAll rights reserved.\n{isc}", f"Copyright The Foo Authors.\n{licenses._MIT}"]
+    expected = ["Unlicense", "Unlicense", "ISC", "ISC", "MIT"]
+    debian = pathlib.Path("/usr/share/common-licenses")
+    for name, known in [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]:
+        if (debian / name).exists():
+            whole = (debian / name).read_text()
+            wrapped = ["\n\n".join(p if re.search(r"(?i)copyright (\(c\)|\[)", p) else textwrap.fill(p, width, break_long_words=False) for p in whole.split("\n\n")) for width in (40, 61)]
+            texts += [whole, *wrapped]
+            expected += [known] * 3
+    got = {r.doc_id: r.license_id for r in licenses.license_scan(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(1, len(texts) + 1)] == expected
+
+
 def test_notice_lines(spark):
     text = "Some prose.\nReleased under the MIT License.\nLICENSED UNDER CC BY-NC 4.0\nlicense unknown to us\nReleased under the MIT License."
     row = licenses.license_scan(documents(spark, [text])).first()
