@@ -8,7 +8,8 @@ removed from it: a passage that several articles of a host quote is text, so rep
 For the pages without such an element the remaining blocks are undecided.  Their token streams are concatenated by
 host and their suffixes ordered through MIN_TOKENS tokens, as a suffix array distributed by (host, prefix): suffixes
 that share a prefix are neighbours, and a prefix that starts on MIN_PAGES distinct pages or more is a long repeated
-substring.  Tokens covered by one are boilerplate; unique runs stay.
+substring.  Tokens covered by one are boilerplate; unique runs stay.  Pages of equal content count once, a page of which
+nothing would be left stays whole, and what pages with such an element hold outside of it counts, too.
 
 Null pages are empty.  Unclosed elements end with what contains them; a tag cut off at the end of a page is dropped.
 """
@@ -66,8 +67,8 @@ def _is_boiler(tag: str, attrs: str, in_main: bool) -> bool:
     return bool(found) and not (in_main and re.fullmatch(r"[\s_-]*header[\s_-]*", found.group(0), re.I))
 
 
-def parse(html: str) -> tuple[bool, list[str]]:
-    """Whether the page declares its main text, and the blocks of that, or else all undecided blocks."""
+def parse(html: str) -> tuple[bool, list[str], list[str]]:
+    """Whether the page declares its main text, the blocks of that, or else all undecided blocks, and the blocks outside."""
     main: list[str] = []
     plain: list[str] = []
     buffer: list[str] = []
@@ -136,7 +137,7 @@ def parse(html: str) -> tuple[bool, list[str]]:
         elif t.group(3).endswith("/") and tag in ("svg", "math", "path"):
             pop()
     flush()
-    return declared, main if declared else plain
+    return declared, main if declared else plain, plain
 
 
 def _host(url: str | None) -> str:
@@ -150,7 +151,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(i, 256)
             urls = part.column(1).to_pylist()
             got = [parse(h or "") for h in part.column(2).to_pylist()]
-            columns = {"page_id": part.column(0), "url": part.column(1), "host": pa.array([_host(u) for u in urls], pa.string()), "declared": pa.array([d for d, _ in got]), "text": pa.array([" ".join(b) for _, b in got], pa.string())}
+            columns = {"page_id": part.column(0), "url": part.column(1), "host": pa.array([_host(u) for u in urls], pa.string()), "declared": pa.array([d for d, _, _ in got]), "text": pa.array([" ".join(b) for _, b, _ in got], pa.string()), "outside": pa.array([" ".join(o) if d else "" for d, _, o in got], pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -159,13 +160,13 @@ def _prefix(host: str, tokens: list[str]) -> int:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct suffix prefixes of each page: (host and prefix hashed, row)."""
+    """The distinct suffix prefixes of each page: (host and prefix hashed, row, content)."""
     for batch in K.released(batches):
-        for row, host, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+        for row, host, text, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
             tokens = text.split(" ")
             keys = {_prefix(host, tokens[i : i + MIN_TOKENS]) for i in range(len(tokens) - MIN_TOKENS + 1)}
             if keys:
-                yield pa.RecordBatch.from_pydict({"prefix": pa.array(sorted(keys), pa.int64()), "row": pa.array([row] * len(keys), pa.int64())})
+                yield pa.RecordBatch.from_pydict({"prefix": pa.array(sorted(keys), pa.int64()), "row": pa.array([row] * len(keys), pa.int64()), "content": pa.array([content] * len(keys), pa.int64())})
 
 
 def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(tokens) - MIN_TOKENS + 1) if hit else ():
                 if _prefix(host, tokens[i : i + MIN_TOKENS]) in hit:
                     keep[i : i + MIN_TOKENS] = [False] * MIN_TOKENS
-            out.append(" ".join(w for w, k in zip(tokens, keep) if k))
+            out.append(" ".join(w for w, k in zip(tokens, keep) if k) if any(keep) else text)
         yield pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "unique": pa.array(out, pa.string())})
 
 
@@ -186,11 +187,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars (its code points)."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, declared boolean, text string")
+    parsed = rows.mapInArrow(_parsed, "page_id long, url string, host string, declared boolean, text string, outside string")
     parsed = stage(parsed.withColumn("row", F.monotonically_increasing_id()), "parsed")
+    content = F.xxhash64("text", "outside").alias("content")
     open_pages = parsed.where("not declared and text <> ''").select("row", "host", "text")
-    suffixes = open_pages.mapInArrow(_suffixes, "prefix long, row long")
-    repeated = suffixes.groupBy("prefix").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    runs = parsed.where("not declared and text <> ''").select("row", "host", "text", content)
+    beside = parsed.where("declared and outside <> ''").join(open_pages.select("host").distinct(), "host", "left_semi").select("row", "host", F.col("outside").alias("text"), content)
+    schema = "prefix long, row long, content long"
+    suffixes = runs.mapInArrow(_suffixes, schema)
+    every = suffixes.unionByName(beside.mapInArrow(_suffixes, schema))
+    repeated = every.groupBy("prefix").agg(F.count_distinct("content").alias("pages")).where(F.col("pages") >= MIN_PAGES)
     by_row = suffixes.join(repeated, "prefix").groupBy("row").agg(F.collect_list("prefix").alias("repeated"))
     unique = open_pages.join(by_row, "row", "left").mapInArrow(_uncovered, "row long, unique string")
     decided = parsed.where("declared or text = ''").select("page_id", "url", "text")

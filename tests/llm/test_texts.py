@@ -181,6 +181,16 @@ def test_repeated_runs_of_a_host_are_boilerplate(spark):
     assert {r.page_id: r.text for r in got} == expected and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_copies_of_a_page_count_once_and_declared_pages_count(spark):
+    rng = random.Random(8)
+    copied, menu, own = words(rng, 40, 10**6), words(rng, 10, 10**6), words(rng, 30, 10**6)
+    rows = [(k, f"https://one.example/{k}", f"<p>{copied}</p>") for k in range(4)]
+    rows += [(10 + k, "https://two.example/", f"<div>{menu}</div><article>text {k}</article>") for k in range(MIN_PAGES)]
+    rows.append((20, "https://two.example/", f"<div>{menu}</div><p>{own}</p>"))
+    expected = {k: copied for k in range(4)} | {10 + k: f"text {k}" for k in range(MIN_PAGES)} | {20: own}
+    assert {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()} == expected
+
+
 def test_no_pages_and_long_pages(spark):
     assert main_text(pages(spark, [])).count() == 0
     clash = pages(spark, [(1, "u", "<p>" + "word " * 100_000), (1, "u", "<p>x")]).selectExpr("*", "1 as row", "2 as prefix", "3 as host", "4 as text")
