@@ -1,14 +1,14 @@
-"""Main text of web pages: structure where pages declare it, a host suffix array where they don't.
+"""Main text of web pages: structure where pages declare it, window counts by host where they don't.
 
 Parsing reads a page once: character references are decoded, scripts, styles, comments and markup go, and blocks
 inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments (by element, role, class or id)
 are boilerplate.  If the page has a main element or an article, its blocks are the main text and nothing else is
 removed from it: a passage that several articles of a host quote is text, so repetition must not decide there.
 
-For the pages without such an element the remaining blocks are undecided.  Their token streams are concatenated by
-host and their suffixes ordered through MIN_TOKENS tokens, as a suffix array distributed by (host, prefix): suffixes
-that share a prefix are neighbours, and a prefix that starts on MIN_PAGES distinct pages or more is a long repeated
-substring.  Tokens covered by one are boilerplate; unique runs stay.  Pages of equal content count once, a page of which
+For the pages without such an element the remaining blocks are undecided.  Every window of
+MIN_TOKENS tokens (the prefix of a suffix) is hashed with its host and the pages that hold it are counted; no suffixes
+are ordered.  For this fixed length the covered tokens are those that a suffix array of the host gives, up to 64-bit
+hashes: a window on MIN_PAGES distinct pages or more is a long repeated substring.  Tokens covered by one are boilerplate; unique runs stay.  Pages of equal content count once, a page of which
 nothing would be left stays whole, and what pages with such an element hold outside of it counts, too.
 
 Null pages are empty.  Unclosed elements end with what contains them; a tag cut off at the end of a page is dropped.
