@@ -62,8 +62,8 @@ def _small(df: DataFrame, weight: str | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, body (xxhash64 of the text), n_words, n_hit, n_items, items_sha256, contaminated."""
+def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, body, n_words, ...) of every row, the spans (doc_id, body, start, n, window), and the items' (item, w, window)."""
     items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text").cast("string")).alias("w")).where("size(w) > 0"), "items")
     cut = F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - WINDOW + 1, F.lit(1))), lambda i: F.slice("w", i, WINDOW))).otherwise(F.array("w"))
     owned = stage(items.select("item", F.explode(F.array_distinct(cut)).alias("w")).withColumn("window", F.xxhash64(F.array_join("w", " "))), "windows")
@@ -86,18 +86,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = tried.join(_small(long), "window").where(F.col("is") == F.col("w")).select("doc_id", "body", "start", F.lit(WINDOW).alias("n"), "window")
     if n_short:
         spans = spans.unionAll(_short_spans(rows, drawn, stage(short, "short")))
-    spans = stage(spans, "spans")
+    return drawn, stage(spans, "spans"), owned
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, body (xxhash64 of the text), n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest window hit)."""
+    drawn, spans, owned = _search(docs, benchmark)
     held = spans.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
     named = spans.select("doc_id", "body", "window").distinct()
     named = named.join(_small(owned.select("window", "item").where("item is not null")), "window").select("doc_id", "body", "item").distinct()
     named = named.groupBy("doc_id", "body").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
 
-    counts = held.select("doc_id", "body", covered.cast("long").alias("n_hit"))
+    longest = F.array_max(F.transform("spans", lambda s: s["n"]))
+    counts = held.select("doc_id", "body", covered.cast("long").alias("n_hit"), longest.alias("longest"))
     result = _same(counts, named, ["n_items", "items_sha256"])
-    out = _same(drawn.select("doc_id", "body", "n_words"), result, ["n_hit", "n_items", "items_sha256"])
+    out = _same(drawn.select("doc_id", "body", "n_words"), result, ["n_hit", "n_items", "items_sha256", "longest"])
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "body", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "body", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+def _grams(words: str) -> Column:
+    """Hashes of all runs of GRAM words of an array column."""
+    starts = F.when(F.size(words) >= GRAM, F.sequence(F.lit(1), F.greatest(F.size(words) - GRAM + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+
+
+def remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, body) of the texts of docs that still hold GRAM words in a row of a window that the text of this id held in `before`.
+
+    For texts that were cut since: a passage may have lost so much that no window of it is left whole.  Ids may be
+    null or repeated; what is known of an id is a set of grams of the benchmark, so that it never grows with its rows.
+    """
+    _, spans, owned = _search(before, benchmark)
+    grams = owned.select("window", "w").dropDuplicates(["window"]).select("window", F.explode(_grams("w")).alias("gram"))
+    known = spans.select(F.col("doc_id").alias("d"), "window").distinct().join(_small(grams), "window").groupBy("d").agg(F.collect_set("gram").alias("grams"))
+    known = stage(known, "known")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = rows.join(_small(known, "grams"), rows.doc_id.eqNullSafe(known.d)).select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"), "grams")
+    return both.where(F.arrays_overlap("grams", _grams("w"))).select("doc_id", "body").distinct()
 
 
 def _texts_of(rows: DataFrame, found: DataFrame) -> DataFrame:

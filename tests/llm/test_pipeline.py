@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm.staging import stage
 from tests.llm.corpus import DOCS, documents, words
 from tests.llm.test_duplicates import brute_near, brute_suffix
-from tests.llm.test_texts import brute_leaks
+from tests.llm.test_texts import brute_leaks, split
 
 
 @pytest.fixture(scope="module")
@@ -99,11 +100,39 @@ def test_repeated_passages_go(stages):
     assert all(r.n_chars == len(r.text or "") for r in stages["suffix_dedup"].collect() if r.text is not None)
 
 
+def leaks(docs, bench):
+    """Ids of the documents in which a whole window of 5 words or more occurs, or that windows cover by 5 %."""
+    long = [(i, t) for i, t in bench if len(split(t)) >= 5]
+    return {d for d, _, n_hit, *_ in brute_leaks(docs, long) if n_hit} | {d for d, *_, contaminated in brute_leaks(docs, bench) if contaminated}
+
+
 def test_benchmark_passages_go(spark, home, stages):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{home}/benchmark.parquet").collect()]
-    before, after = texts(stages["suffix_dedup"]), {d for d, _ in texts(stages["decontamination"])}
-    bad = {d for d, *_, contaminated in brute_leaks(before, bench) if contaminated}
-    assert 101 in bad and after == {d for d, _ in before} - bad
+    before, after = texts(stages["suffix_dedup"]), texts(stages["decontamination"])
+    bad = leaks(before, bench)
+    assert 101 in bad and {d for d, _ in after} == {d for d, _ in before} - bad and not leaks(after, bench)
+
+
+def test_no_passage_stays_whatever_was_cut(spark, tmp_path):
+    """A short passage in a long text; passages that an earlier document holds whole, or in part."""
+    rng = random.Random(13)
+    item, other, phrase = words(rng, 15, 10**6), words(rng, 40, 10**6), words(rng, 3, 10**6)
+    part = " ".join(other.split()[:30])
+    prose = lambda n: words(rng, n, 10**7)
+    before = [
+        (1, f"{prose(1000)} {item} {prose(1000)}"), (2, f"{prose(50)} {item} {prose(50)}"), (3, f"{prose(500)} {part} {prose(500)}"), (4, f"{prose(500)} {other} {prose(500)}"), (5, f"{prose(500)} {phrase} {prose(20)}"), (6, phrase),
+        (7, prose(60)), (None, f"{prose(500)} {other} {prose(5)}"), (None, prose(70)), (8, None), (9, ""),
+    ]
+    at = str(tmp_path)
+    documents(spark, [t for _, t in before], [d for d, _ in before]).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, other), (3, phrase)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs = stage(corpus_pipeline._repeats(spark, spark.read.parquet(f"{at}/documents.parquet"), at), "cut")
+    cut = dict(texts(docs))
+    whole = dict(before)
+    assert len(cut[4]) < len(whole[4]) - 100 and 0 < sum(w in cut[4] for w in other.split()) < 13 and not leaks([(4, cut[4])], [(2, other)])
+    after = texts(corpus_pipeline._benchmark(spark, docs, at))
+    assert sorted(map(repr, (d for d, _ in after))) == sorted(map(repr, [2, 5, 7, None, None, 8, 9]))
+    assert item not in " ".join(t or "" for _, t in after) and not leaks(after, [(1, item), (2, other)])
 
 
 def test_packing_holds_every_document(stages):
