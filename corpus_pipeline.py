@@ -60,9 +60,31 @@ def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated with benchmark items."""
-    found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id", "body").distinct())
+    """Documents without a passage of a benchmark item.
+
+    A document goes if a whole window of an item occurs in it (13 words; all words of an item of 5 to 12), whatever
+    its share of the document; windows of fewer words are common phrases, and go by the share of 5 %.  The stage
+    before may have cut a passage that an earlier document holds, too, and left pieces that are no window any more:
+    the texts that it changed are searched as they were, and documents that still hold 5 words in a row of what was
+    found there go, too.  Documents of which the whole passage was cut are clean and stay.
+    """
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs, benchmark)
+    gone = found.where(F.col("contaminated") | (F.col("longest") >= decontaminate.GRAM)).select("doc_id", "body")
+    left = decontaminate.remains(docs, _as_it_was(docs, spark.read.parquet(f"{sf_dir}/documents.parquet")), benchmark)
+    return _without(docs, gone.union(left).distinct())
+
+
+def _as_it_was(docs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose text isn't among those that docs has for their id; all of them, if those are too many to broadcast."""
+    now = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("b"))
+    rows = whole.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    then = rows.select("doc_id", F.xxhash64("text").alias("body"))
+    kept = then.join(now.select("d").distinct(), F.expr("doc_id <=> d"), "left_semi")
+    cut = stage(kept.join(now, F.expr("doc_id <=> d and body = b"), "left_anti").distinct().select(F.col("doc_id").alias("cut_id"), F.col("body").alias("cut_body")), "cut")
+    if cut.count() > BROADCAST_ROWS:
+        return rows
+    return rows.join(F.broadcast(cut), F.expr("doc_id <=> cut_id and xxhash64(text) = cut_body"), "left_semi")
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
