@@ -5,12 +5,13 @@ import pathlib
 import random
 import re
 import textwrap
+import time
 
 import pytest
 
 from tessera.llm import licenses
 from tessera.llm.decontaminate import decontaminate
-from tessera.llm.main_text import MIN_PAGES, main_text, parse
+from tessera.llm.main_text import MIN_PAGES, MIN_TOKENS, main_text, parse
 from tests.llm.corpus import DOCS, awkward, collected, documents, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -153,6 +154,11 @@ def test_declared_pages():
         ("", ""), ("plain text", "plain text"), ("<p>a<p>b", "a b"), ("<div>a <span class=ad>x</span> b</div>", "a b"), ("<main>in</main>out", "in"), ("<div role=main>in <nav>no</nav></div>out", "in"),
         ("<article>a<article class='comment'>c</article></article>", "a"), ("<article>1 < 2 &amp;amp; 3", "1 < 2 &amp; 3"), ("<article>a<script>if (a</b) {}</script>b</article>", "a b"), ("<article>x<", "x<"), ("<article>x<p clas", "x"),
         ("<article><p hidden>h</p><p style='display: none'>n</p>ok</article>", "ok"), ("<ARTICLE><P>Up</P></ARTICLE>", "Up"), ("<article>a</p></div>b</article>", "a b"), ("<article>e&#0;&notit;</article>", "e�¬it;"),
+        ("<article><p>Hello <a href=/it's>x</a> world</p><p>rest of it</p></article>", "Hello x world rest of it"), ("<article><p class=\"a\"'>Hello</p> all</article>", "Hello all"), ("<article><p title=a>b>c</p></article>", "b>c"),
+        ("<article><p title='>'>b</p><p =x>c</p><!-->d<!--->e</ x>f</>g</article>", "b c defg"), ("<article><p title=\"never closed>a</p></article>", ""),
+        ('<article><span class="search-term">foo</span> <div class="share-price">9 €</div><p class="notice-board skip-intro">n</p></article>', "foo 9 € n"),
+        ('<article>a<div class="share-buttons x">s</div><div id="cookie_notice">c</div><p class="related-posts">r</p><p class="comment-list">l</p>b</article>', "a b"),
+        ('<article><ul><li class="ad">buy<li>one</ul><dl><dt class=ad>x<dd>y</dl><table><tr class=ad><td>q<tr><td class=ad>r<td>s</table></article>', "one y s"), ('<article><ul><li class=ad><ul><li>in</ul><li>out</ul></article>', "out"),
     ],
 )
 def test_single_pages(html, expected):
@@ -191,6 +197,41 @@ def test_copies_of_a_page_count_once_and_declared_pages_count(spark):
     assert {r.page_id: r.text for r in main_text(pages(spark, rows)).collect()} == expected
 
 
+def test_nested_pages_take_linear_time():
+    for html in ("<div>" * 20_000 + "</b><p>x</i>" * 2_000, "<b><ul>" + "<div>" * 20_000 + "<li>a</li></b>" * 20_000, "<p " + "a='" * 50_000, "<" * 50_000, "<a =" * 20_000):
+        began = time.perf_counter()
+        parse(html)
+        assert time.perf_counter() - began < 3
+
+
+def brute_unique(rows):
+    """By all runs of MIN_TOKENS tokens of every host."""
+    seen = {}
+    streams = {k: (url.split("/")[2], text.split()) for k, url, text in rows}
+    runs = lambda w: [tuple(w[i : i + MIN_TOKENS]) for i in range(len(w) - MIN_TOKENS + 1)]
+    for host, w in streams.values():
+        for r in runs(w):
+            seen.setdefault((host, r), set()).add(tuple(w))
+    out = {}
+    for k, (host, w) in streams.items():
+        gone = {i + j for i, r in enumerate(runs(w)) if len(seen[host, r]) >= MIN_PAGES for j in range(MIN_TOKENS)}
+        out[k] = " ".join(x for i, x in enumerate(w) if i not in gone) if len(gone) < len(w) else " ".join(w)
+    return out
+
+
+def test_suffix_array_against_all_runs(spark):
+    rng = random.Random(9)
+    passages = [words(rng, n, 10**6) for n in (7, 8, 9, 20, 40)]
+    rows = []
+    for k in range(120):
+        parts = [words(rng, rng.randrange(0, 25), 30) for _ in range(3)] + [w if rng.random() < 0.7 else " ".join(w.split()[rng.randrange(4) :]) for w in rng.sample(passages, 2)]
+        rng.shuffle(parts)
+        rows.append((k, f"https://h{min(k % 7, 2)}.example/{k}", " ".join(" ".join(parts).split())))
+    rows += [(200 + k, "https://h0.example/", rows[0][2]) for k in range(5)]
+    got = main_text(pages(spark, [(k, u, f"<p>{t}</p>") for k, u, t in rows]).repartition(5)).collect()
+    assert {r.page_id: r.text for r in got} == brute_unique(rows)
+
+
 def test_no_pages_and_long_pages(spark):
     assert main_text(pages(spark, [])).count() == 0
     clash = pages(spark, [(1, "u", "<p>" + "word " * 100_000), (1, "u", "<p>x")]).selectExpr("*", "1 as row", "2 as prefix", "3 as host", "4 as text")
