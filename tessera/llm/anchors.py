@@ -120,7 +120,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for p, i, j in keys.filled():
             yield p, (j - i).to_bytes(8, "little") + keys.keys[i:j].tobytes() + K.squeeze(ids[i:j].tobytes())
 
-    anchors = X.ask(chunks, send_anchors, X.seen_twice, (), "anchors")
-    windows = X.ask(X.with_answers(chunks, anchors), send_windows, _smaller_elsewhere, ("anchors",), "windows")
+    anchors = X.ask(chunks, send_anchors, X.seen_twice, (), "anchors", n_parts)
+    windows = X.ask(X.with_answers(chunks, anchors), send_windows, _smaller_elsewhere, ("anchors",), "windows", n_parts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
     return held.finish(X.with_answers(chunks, anchors, windows).mapInArrow(lambda batches: _cut(batches, n_parts, texts), schema), keep=texts)

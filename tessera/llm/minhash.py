@@ -150,17 +150,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = drawn.where("n_shingles > 0").groupBy(*set_key).agg(F.min(F.struct("doc_id", "uid", "b", "bands")).alias("m"))
     classes = stage(classes.select(*set_key, "m.doc_id", "m.uid", "m.b", "m.bands"), "classes")
     spread = classes.select("uid", "b", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "value")).select("uid", "b", "n", F.xxhash64("band", "value").alias("key"))
-    busy = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # what is joined to all members of a bucket is staged first: only plain joins of two exchanges can be split where a bucket is hot
+    busy = stage(spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "busy")
     mates = stage(spread.join(busy, "key"), "mates")
     degree = mates.groupBy("uid").agg(F.sum(F.col("size") - 1).alias("degree"))
     ranked = mates.join(degree, "uid").select("key", "uid", "n", F.struct("degree", (-F.col("uid")).alias("minus")).alias("rank"))
-    pivots = ranked.groupBy("key").agg(F.max("rank").alias("p"))
+    pivots = stage(ranked.groupBy("key").agg(F.max("rank").alias("p")), "pivots")
     pivoted = stage(ranked.join(pivots, "key").select("key", "uid", "n", (-F.col("p.minus")).alias("pivot"), "p.degree"), "pivoted")
     star = stage(pivoted.where("uid <> pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b"), "degree").distinct(), "star")
     best = star.groupBy("a").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("p")).select("a", (-F.col("p.minus")).alias("b"))
 
-    wanted = mates.select("b", "uid").distinct().groupBy("b").agg(F.collect_list(F.struct(F.shiftright("uid", X.ROW_BITS).alias("chunk"), F.col("uid").bitwiseAND((1 << X.ROW_BITS) - 1).alias("part"), F.lit(b"").alias("body"))).alias("wanted"))
-    sets = stage(chunks.join(wanted, "b").mapInArrow(_sets, "uid long, items binary"), "sets", compression="none")
+    rows = mates.select("b", "uid").distinct().select("b", F.shiftright("uid", X.ROW_BITS).alias("chunk"), F.col("uid").bitwiseAND((1 << X.ROW_BITS) - 1).alias("part"), F.lit(b"").alias("body"))
+    sets = stage(chunks.join(X.by_chunk(rows, "wanted"), ["b", "chunk"]).mapInArrow(_sets, "uid long, items binary"), "sets", compression="none")
     links = _verify(best, sets, percent, "links")
     labels = components(links)
 
@@ -195,7 +196,7 @@ def _through_pivots(pivoted: DataFrame, labels: DataFrame, sets: DataFrame, perc
     their prefixes in those of all members, so that members that merely resemble the pivot never meet each other.
     """
     rows = pivoted.join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = stage(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "mixed")
     members = rows.join(mixed, "key", "left_semi").select("pivot", F.col("uid").alias("a"), "label").distinct()
     x = sets.select(F.col("uid").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("uid").alias("pivot"), F.col("items").alias("y"))

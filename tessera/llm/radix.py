@@ -373,8 +373,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def compare(bodies: list[bytes]) -> list[bytes]:
         return (earlier_keys if bodies[0][:1] == b"w" else earlier_windows)([b[1:] for b in bodies])
 
-    grams = X.ask(chunks, send_grams, lambda bodies: gram_states(bodies, hot), (), "grams")
-    contexts = X.ask(X.with_answers(chunks, grams), send_contexts, compare, ("grams",), "contexts")
+    grams = X.ask(chunks, send_grams, lambda bodies: gram_states(bodies, hot), (), "grams", n_parts)
+    contexts = X.ask(X.with_answers(chunks, grams), send_contexts, compare, ("grams",), "contexts", n_parts, kinds=2)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
     schema += "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
     n_carried = len(carry or [])

@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import exchange as X
 from tessera.llm.anchors import substring_dedup
 from tessera.llm.minhash import bands_for, near_duplicates, sketches
 from tessera.llm.radix import suffix_dedup
@@ -176,3 +178,22 @@ def test_empty_tables_and_extra_columns(spark, operator):
     assert operator(empty).count() == 0
     clash = documents(spark, ["a b c d e f", None]).selectExpr("*", "1 as uid", "2 as b", "3 as chunk", "4 as part", "'x' as body", "5 as kept", "6 as component_id")
     assert operator(clash).count() == 2
+
+
+def test_keys_are_dealt_to_one_partition_each(spark):
+    for n, each in ((1, 1), (7, 2), (64, 1)):
+        keys = X.spread_keys(n, each)
+        rows = [(int(k), p) for row in keys for p, k in enumerate(row)]
+        found = spark.createDataFrame(rows, "k long, p int").repartition(n, "k").withColumn("at", F.spark_partition_id()).collect()
+        assert len({r.k for r in found}) == n * each and all(r.at == r.p for r in found)
+
+
+def test_texts_are_not_shuffled_and_chunks_get_their_own_answers(spark):
+    held = X.store(documents(spark, [t for t in awkward(9) if t]))
+    chunks = held.read()
+    answers = X.ask(chunks, lambda chunk, _: iter([(0, len(chunk.data).to_bytes(4, "little"))]), lambda bodies: bodies, (), "sizes", 3)
+    joined = X.with_answers(chunks, answers)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1  # that of the answers
+    assert all([(a.part, int.from_bytes(a.body, "little")) for a in r.sizes] == [(0, r.n_bytes)] for r in joined.collect())
+    held.drop()
