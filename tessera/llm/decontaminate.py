@@ -94,10 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     drawn, spans, owned = _search(docs, benchmark)
     held = spans.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
-    named = spans.select("doc_id", "body", "window").distinct()
-    named = named.join(_small(owned.select("window", "item").where("item is not null")), "window").select("doc_id", "body", "item").distinct()
-    named = named.groupBy("doc_id", "body").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
-
+    named = _named(spans, owned)
     longest = F.array_max(F.transform("spans", lambda s: s["n"]))
     counts = held.select("doc_id", "body", covered.cast("long").alias("n_hit"), longest.alias("longest"))
     result = _same(counts, named, ["n_items", "items_sha256"])
@@ -106,6 +103,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.select("doc_id", "body", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+def _named(spans: DataFrame, owned: DataFrame) -> DataFrame:
+    """Per text with a hit: n_items and items_sha256, the items whose windows it holds.
+
+    Windows of the same items are one set, and texts with the same sets are one case that is named once: a passage
+    that many items and very many texts hold never makes pairs of them.
+    """
+    sets = stage(owned.where("item is not null").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("owners", F.xxhash64(F.array_join(F.transform("items", lambda i: F.concat(F.length(i), F.lit(":"), i)), ","))), "owners")
+    texts = spans.select("doc_id", "body", "window").distinct().join(_small(sets.select("window", "owners")), "window")
+    texts = stage(texts.groupBy("doc_id", "body").agg(F.array_sort(F.collect_set("owners")).alias("sets")).withColumn("case", F.xxhash64("sets")), "cases")
+    members = texts.select("case", "sets").dropDuplicates(["case"]).select("case", F.explode("sets").alias("owners"))
+    items = members.join(_small(sets.select("owners", "items").dropDuplicates(["owners"]), "items"), "owners").groupBy("case").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    names = stage(items.select("case", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")), "names")
+    return texts.select("doc_id", "body", "case").join(_small(names), "case").drop("case")
+
+
 def _grams(words: str) -> Column:
     """Hashes of all runs of GRAM words of an array column."""
     starts = F.when(F.size(words) >= GRAM, F.sequence(F.lit(1), F.greatest(F.size(words) - GRAM + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))

@@ -25,6 +25,7 @@ from tessera.llm.labelled import TRAIN_ROWS, training_rows
 from tessera.llm.linear import fit_logistic, sigmoid
 from tessera.llm.staging import small_batches, stage
 
+BROADCAST_SITES = 200_000  # of a host, a path and five numbers each
 SITE_WEIGHT = 0.5  # of the site's log odds; the site's documents are correlated with the one judged
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b"#$%&*@^~+=<>\\/_{}[]`", b"|", b"!?", b".,;:'\"()-", b"\n"]
 _CLASS = np.full(256, 8, dtype=np.uint8)
@@ -100,7 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where: Colum
 
 
 def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
-    """doc_id, host, path and the document's own probability."""
+    """doc_id, host, path, the document's own probability, and hash (what equal rows share).
+
+    Equal rows are judged alike, each on its own; null and empty texts have the statistics of nothing, null hosts and
+    paths are the empty one.
+    """
 
     small_batches(docs.sparkSession)
 
@@ -109,18 +114,23 @@ def evidence(docs: DataFrame, model: Model, host: Column, path: Column) -> DataF
             raw, offs = K.column_bytes(batch.column(3))
             for some, data, o in K.groups(np.arange(batch.num_rows), raw, offs):
                 part = batch.slice(int(some[0]), len(some))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(model.probability(data, o))], ["doc_id", "host", "path", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(model.probability(data, o)), part.column(4)], ["doc_id", "host", "path", "own", "hash"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, host string, path string, own double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"), _identity(F.col("doc_id").cast("long"), F.col("text").cast("string"), host, path).alias("hash"))
+    return rows.mapInArrow(run, "doc_id long, host string, path string, own double, hash long")
 
 
 def good_rows(docs: DataFrame, model: Model, host: Column, path: Column, threshold: float = 0.2) -> DataFrame:
     """The rows of docs whose posterior reaches the threshold, with docs' own columns.
 
-    The statistics run twice, once for the sites' sums and once beside the rows, so that texts are never shuffled.
+    The statistics run twice, once for the sites' sums and once beside the rows, so that texts are not shuffled while
+    the sites, counted, can be broadcast.  Beyond that the evidence without texts meets the sites, and the rows that
+    it rejects are taken out by a hash of id, text, host and path: texts are shuffled once, and by a key without hot values.
     """
-    sites = sites_of(evidence(docs, model, host, path))
+    judged = evidence(docs, model, host, path)
+    sites = sites_of(judged)
+    if sites.count() > BROADCAST_SITES:
+        return _without_bad(docs, stage(judged, "evidence"), sites, host, path, threshold)
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names))).alias("row"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     packed = packed.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit(""))})
@@ -137,6 +147,18 @@ def good_rows(docs: DataFrame, model: Model, host: Column, path: Column, thresho
     return kept.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
+def _without_bad(docs: DataFrame, judged: DataFrame, sites: DataFrame, host: Column, path: Column, threshold: float) -> DataFrame:
+    bad = posterior(judged, sites, threshold).where("not keep").select("hash").distinct()
+    names = docs.columns
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), _identity(F.col("doc_id").cast("long"), F.col("text").cast("string"), host, path).alias("hash"))
+    return rows.join(bad, "hash", "left_anti").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+
+
+def _identity(doc_id: Column, text: Column, host: Column, path: Column) -> Column:
+    """What equal rows share: they have the same posterior."""
+    return F.xxhash64(doc_id, text, F.coalesce(host.cast("string"), F.lit("")), F.coalesce(path.cast("string"), F.lit("")))
+
+
 def _strength(groups: DataFrame, above: Column) -> float:
     """Method-of-moments weight of the prior: within-group variance over what the means' spread exceeds it by."""
     mean = F.col("s") / F.col("n")
@@ -166,5 +188,6 @@ def posterior(judged: DataFrame, sites: DataFrame, threshold: float = 0.2, site_
     """evidence() with site_docs, host_rate, site_rate, posterior and keep (posterior >= threshold)."""
     odds = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))
     z = odds(F.col("own")) + site_weight * (odds(F.col("site_rate")) - odds(F.col("prior")))
-    out = judged.join(sites, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-z)))
+    small = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    out = judged.join(small, ["host", "path"]).withColumn("posterior", 1 / (1 + F.exp(-z)))
     return out.withColumn("keep", F.col("posterior") >= threshold)

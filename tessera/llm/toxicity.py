@@ -6,7 +6,9 @@ class frequencies scales the feature, the FEATURES buckets with the greatest chi
 ridge-penalised logistic regression of r * presence is fitted on the driver.  Scoring reads whole texts and keeps one
 bit per document and feature.
 
-Fitted on at most labelled.TRAIN_ROWS rows.  Empty and null texts get the score of a document without any feature.
+Fitted on at most labelled.TRAIN_ROWS rows.  Empty and null texts get the score of a document without any feature;
+equal texts get equal scores, repeated rows each their own row.  Equal chi-square statistics are ordered by bucket.  A
+row without an id is scored and belongs to no fold: it is never learned from, and held_out is null.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ class Model:
     buckets: np.ndarray
     weights: np.ndarray
     bias: float
+    ratios: np.ndarray | None = None  # log-count ratio of each bucket
 
     def slots(self) -> np.ndarray:
         out = np.full(1 << BUCKET_BITS, -1, dtype=np.int16)
@@ -121,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int =
     bits = np.array([np.frombuffer(g.x, np.uint8) for g in got]).reshape(len(got), -1)
     blocks = [np.unpackbits(bits[i : i + 2048], axis=1, count=len(top)).astype(np.float32) for i in range(0, len(got), 2048)]
     w, bias = fit_logistic(blocks, y, r, l2=1e-5, rounds=150)
-    return Model(shape.buckets, w * r, bias)
+    return Model(shape.buckets, w * r, bias, r)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
