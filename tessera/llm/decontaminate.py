@@ -118,10 +118,10 @@ def _named(spans: DataFrame, owned: DataFrame) -> DataFrame:
     return texts.select("doc_id", "body", "case").join(_small(names), "case").drop("case")
 
 
-def _grams(words: str) -> Column:
-    """Hashes of all runs of GRAM words of an array column."""
-    starts = F.when(F.size(words) >= GRAM, F.sequence(F.lit(1), F.greatest(F.size(words) - GRAM + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, GRAM), " ")))
+def _grams(w: Column) -> Column:
+    """Hashes of all runs of GRAM words."""
+    starts = F.when(F.size(w) >= GRAM, F.sequence(F.lit(1), F.greatest(F.size(w) - GRAM + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, GRAM), " ")))
 
 
 def remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -131,12 +131,14 @@ def remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFra
     null or repeated; what is known of an id is a set of grams of the benchmark, so that it never grows with its rows.
     """
     _, spans, owned = _search(before, benchmark)
-    grams = owned.select("window", "w").dropDuplicates(["window"]).select("window", F.explode(_grams("w")).alias("gram"))
+    grams = owned.select("window", "w").dropDuplicates(["window"]).select("window", F.explode(_grams(F.col("w"))).alias("gram"))
     known = spans.select(F.col("doc_id").alias("d"), "window").distinct().join(_small(grams), "window").groupBy("d").agg(F.collect_set("gram").alias("grams"))
     known = stage(known, "known")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = rows.join(_small(known, "grams"), rows.doc_id.eqNullSafe(known.d)).select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"), "grams")
-    return both.where(F.arrays_overlap("grams", _grams("w"))).select("doc_id", "body").distinct()
+    both = rows.join(_small(known, "grams"), rows.doc_id.eqNullSafe(known.d)).select("doc_id", "text", "grams")
+    # the words are bound by a lambda: as a column, Catalyst would push them into the filter and split the text once for every gram
+    held = F.exists(F.array(words(F.col("text"))), lambda w: F.arrays_overlap("grams", _grams(w)))
+    return both.where(held).select("doc_id", F.xxhash64("text").alias("body")).distinct()
 
 
 def _texts_of(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources.staging import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one of our own only where that setting is absent."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.shared.dir", where)
-    return where.rstrip("/")
+from tessera.sources.staging import shared_dir, ship
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
