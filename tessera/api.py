@@ -18,7 +18,7 @@ from tessera.operators import bisect as B
 from tessera.operators import cost, readers, repo_map, search, timeline
 from tessera.sources import files as FS
 from tessera.sources.code_index import Built, CodeIndex, NotIndexed, build_index, load_index, save_index
-from tessera.sources.timeline_store import TimelineStore
+from tessera.sources.timeline_store import TimelineStore, put
 
 
 class RestoreRefused(PermissionError):
@@ -79,8 +79,11 @@ class Workspace:
 
     # --- code
 
-    def _texts(self, code_only: bool = True) -> DataFrame:
-        return FS.scan_folder(self.spark, self.root, self._ignore(), code_only)
+    def _texts(self) -> DataFrame:
+        return FS.scan_folder(self.spark, self.root, self._ignore())
+
+    def _contents(self) -> DataFrame:
+        return FS.scan_bytes(self.spark, self.root, self._ignore())
 
     def index(self, force: bool = False) -> Built:
         previous = None if force else load_index(self.spark, f"{self.state}/index")
@@ -162,7 +165,7 @@ class Workspace:
         return ref.removeprefix("refs/heads/"), FS.read_text(self.root, f".git/{ref}").strip() or packed.get(ref)
 
     def snap(self, label: str = "", source: str = "manual", agent: str | None = None, turn: str | None = None) -> Row | None:
-        return self.store.create(self._texts(code_only=False), label, source, agent, turn, *self.git_state())
+        return self.store.create(self._contents(), label, source, agent, turn, *self.git_state())
 
     def checkpoint_begin(self, label: str, turn: str | None = None, agent: str | None = None) -> Row | None:
         return self.snap(f"begin: {label}", "agent", agent, turn)
@@ -187,7 +190,7 @@ class Workspace:
         """Changed files between two snapshots, or a snapshot and the files as they are; without stat, with line diffs."""
         snapshots = self.store.snapshots
         a = timeline.resolve(snapshots, start).tree
-        b = timeline.resolve(snapshots, end).tree if end else self.store.write_tree(self._texts(code_only=False))
+        b = timeline.resolve(snapshots, end).tree if end else self.store.write_tree(self._contents())
         changes = timeline.diff(self.store.entries, a, b, paths)
         return (changes if stat else timeline.patch(changes, self.store.blobs)).orderBy("path")
 
@@ -210,24 +213,26 @@ class Workspace:
         return self.restore(ref, files)
 
     def bisect(self, command: Sequence[str] | Callable[[str], bool], limit: int = B.LIMIT, timeout_s: float = 300, on_step: Callable[..., None] | None = None) -> B.Found:
-        """The first snapshot for which the command fails in a fresh copy of its tree; a function gets the copy's folder."""
+        """The first snapshot for which the command fails in a fresh copy of its tree, with the first files that it changed.
+
+        A function instead of a command gets the copy's folder.
+        """
         chain = timeline.log(self.store.snapshots, min(limit, 500)).collect()[::-1]
 
         def probe(snapshot: Row) -> bool:
             with tempfile.TemporaryDirectory(prefix="tessera-probe-") as folder:
-                rows = self.store.entries.where(F.col("tree") == snapshot.tree).join(self.store.blobs.select("blob", "text"), "blob")
-                for r in rows.select("path", "text").toLocalIterator():
-                    where = os.path.join(folder, r.path)
-                    os.makedirs(os.path.dirname(where), exist_ok=True)
-                    with open(where, "w", encoding="utf-8", newline="") as f:
-                        f.write(r.text)
+                for r in self.store.contents(snapshot.tree).toLocalIterator():
+                    put(os.path.join(folder, r.path), r.content, r.mode)
                 for name in self.config.bisect_link:
                     source = os.path.join(self.root, name)
                     if os.path.exists(source) and not os.path.lexists(os.path.join(folder, name)):
                         os.symlink(source, os.path.join(folder, name))
                 return command(folder) if callable(command) else B.command_probe(command, folder, timeout_s)
 
-        return B.bisect(chain, probe, on_step)
+        found = B.bisect(chain, probe, on_step)
+        if found.first_bad is not None:
+            found.changed = self.changed(found.first_bad.id).limit(B.CHANGED).collect()
+        return found
 
     def prune(self, older_than: str, keep_labeled: bool = False) -> tuple[int, int]:
         return self.store.prune(time.time() - parse_duration(older_than) / 1000, keep_labeled)

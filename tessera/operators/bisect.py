@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LIMIT = 200
+LIMIT, CHANGED = 200, 20
 
 TOO_FEW, ALL_GOOD, ALL_BAD = "at least two snapshots are needed", "the newest snapshot passes", "the oldest snapshot of the chain fails"
 
@@ -23,6 +23,7 @@ class Found:
     candidates: int = 0
     reason: str | None = None
     steps: list[tuple[Any, bool]] = field(default_factory=list)
+    changed: list[Any] = field(default_factory=list)  # files of the first bad version against its parent, CHANGED at most
 
 
 def bisect(chain: Sequence[Any], probe: Callable[[Any], bool], on_step: Callable[[Any, bool, int, int], None] | None = None) -> Found:

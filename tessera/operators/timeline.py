@@ -21,10 +21,18 @@ class SnapshotNotFound(LookupError):
     """No snapshot, or more than one, has the prefix."""
 
 
+TREE_PARTS = 1024
+
+
 def tree_hash(files: DataFrame, key: list[str]) -> DataFrame:
-    """files(*key, path, blob) to (*key, tree): the digest of the sorted (path, blob) pairs."""
+    """files(*key, path, blob) to (*key, tree): the digest of the digests of TREE_PARTS parts of the sorted (path, blob) pairs.
+
+    Parts are by a hash of the path, so that a row holds a thousandth of a tree at most and a tree's final row is bounded.
+    """
+    part = F.pmod(F.crc32("path"), F.lit(TREE_PARTS)).cast("int")
     listed = F.sort_array(F.collect_list(F.struct("path", "blob")))
-    return files.groupBy(*key).agg(F.sha2(F.to_json(listed), 256).alias("tree"))
+    parts = files.withColumn("_part", part).groupBy(*key, "_part").agg(F.sha2(F.to_json(listed), 256).alias("digest"))
+    return parts.groupBy(*key).agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("_part", "digest")))), 256).alias("tree"))
 
 
 def snapshot_id(parent_seq: Column | str = "parent_seq") -> Column:
@@ -158,13 +166,17 @@ def sessions(events: DataFrame, key: str, ts: str, quiet: str) -> DataFrame:
 
 
 def patch(changes: DataFrame, blobs: DataFrame, context: int = 3) -> DataFrame:
-    """Line diffs of changed paths: path, status, patch.  Only the blobs of changed paths are read."""
+    """Line diffs of changed paths: path, status, patch.  Only the blobs of changed paths are read.
+
+    blobs: blob, content (bytes) or text.  Of bytes with a zero among them only the fact is told.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
-    text = lambda side: blobs.select(F.col("blob").alias(side), F.col("text").alias(f"{side}_text"))
-    rows = changes.join(text("old"), "old", "left").join(text("new"), "new", "left").select("path", "status", "old_text", "new_text")
+    content = F.col("content") if "content" in blobs.columns else F.encode("text", "UTF-8")
+    side = lambda name: blobs.select(F.col("blob").alias(name), content.alias(f"{name}_content"))
+    rows = changes.join(side("old"), "old", "left").join(side("new"), "new", "left").select("path", "status", "old_content", "new_content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import difflib
@@ -172,8 +184,13 @@ def patch(changes: DataFrame, blobs: DataFrame, context: int = 3) -> DataFrame:
         for batch in batches:
             out = []
             for p, s, a, b in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                a, b = a or b"", b or b""
                 ends = ("/dev/null" if s == "A" else f"a/{p}", "/dev/null" if s == "D" else f"b/{p}")
-                out.append("".join(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n" for line in difflib.unified_diff((a or "").splitlines(True), (b or "").splitlines(True), *ends, n=context)))
+                if b"\0" in a or b"\0" in b:
+                    out.append(f"Binary files {ends[0]} and {ends[1]} differ\n")
+                    continue
+                lines = (x.decode("utf-8", "replace").splitlines(True) for x in (a, b))
+                out.append("".join(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n" for line in difflib.unified_diff(*lines, *ends, n=context)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["path", "status", "patch"])
 
     return rows.mapInArrow(run, "path string, status string, patch string")

@@ -2,7 +2,8 @@
 
 A corpus that is already a table needs only (path, text); scan_folder is for trees of files on storage that driver
 and executors share.  Spark's own file readers leave out names that begin with an underscore (so __init__.py), so
-paths are listed through the Hadoop file system on the driver and contents are read in the tasks.
+paths are listed on the driver (through the Hadoop file system where storage isn't local) and contents are read in the
+tasks, as bytes.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import stat
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, fields
 
@@ -122,44 +124,87 @@ def source_files(files: DataFrame, ignore: list[str] | None = None) -> DataFrame
     return out.where(~T.matches_any(F.col("path"), ignore)) if ignore else out
 
 
-def _listed(spark: SparkSession, root: str) -> Iterator[tuple[str, str, int]]:
+# modes of files as a version keeps them
+PLAIN, EXECUTABLE, LINK = "100644", "100755", "120000"
+
+
+def _listed(spark: SparkSession, root: str) -> Iterator[tuple[str, str, int, str]]:
+    """Path below the root, whole path, size and mode of every file; links are listed as such and not followed."""
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    base = fs.makeQualified(top).toUri()
+    if base.getScheme() == "file":
+        yield from _listed_here(base.getPath().rstrip("/"))
+        return
+    below = len(base.getPath().rstrip("/")) + 1
     walk = fs.listFiles(top, True)
     while walk.hasNext():
         status = walk.next()
         whole = status.getPath().toUri()
-        yield whole.getPath()[len(base) + 1 :], whole.toString(), status.getLen()
+        yield whole.getPath()[below:], whole.toString(), status.getLen(), EXECUTABLE if status.getPermission().toShort() & 0o100 else PLAIN
 
 
-def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _listed_here(base: str) -> Iterator[tuple[str, str, int, str]]:
+    for folder, folders, names in os.walk(base):
+        for name in [*names, *(f for f in folders if os.path.islink(os.path.join(folder, f)))]:
+            whole = os.path.join(folder, name)
+            try:
+                found = os.lstat(whole)
+            except FileNotFoundError:
+                continue
+            if stat.S_ISLNK(found.st_mode) or stat.S_ISREG(found.st_mode):
+                mode = LINK if stat.S_ISLNK(found.st_mode) else EXECUTABLE if found.st_mode & 0o100 else PLAIN
+                yield os.path.relpath(whole, base), whole, found.st_size, mode
+
+
+def _content(where: str, mode: str) -> bytes | None:
+    """The bytes of a file, or the target of a link; None if it is gone since the listing."""
     from pyarrow import fs
 
+    try:
+        if mode == LINK:
+            return os.fsencode(os.readlink(where))
+        if where.startswith("/"):
+            with open(where, "rb") as f:
+                return f.read()
+        system, name = fs.FileSystem.from_uri(where)
+        with system.open_input_stream(name) as f:
+            return f.read()
+    except FileNotFoundError:
+        return None
+
+
+def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, uri in zip(*(batch.column(k).to_pylist() for k in range(2))):
-            where, name = fs.FileSystem.from_uri(uri)
-            try:
-                with where.open_input_stream(name) as f:
-                    raw = f.read()
-            except FileNotFoundError:
-                continue  # gone since the listing
-            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "text": pa.array([raw.decode("utf-8", "replace")])})
+        for path, where, mode in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if (content := _content(where, mode)) is not None:
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "content": pa.array([content], pa.binary()), "mode": pa.array([mode])})
 
 
-def scan_folder(spark: SparkSession, root: str, ignore: list[str] | None = None, code_only: bool = True, bytes_each: int = 64 << 20) -> DataFrame:
-    """(path, text) of a tree of files; paths are filtered before any file is opened."""
+def _as_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [c.decode("utf-8", "replace") for c in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "text"])
+
+
+def scan_bytes(spark: SparkSession, root: str, ignore: list[str] | None = None, code_only: bool = False, bytes_each: int = 64 << 20) -> DataFrame:
+    """(path, content, mode) of a tree of files, byte for byte; paths are filtered before any file is opened."""
     ship(spark)
     found = sorted(_listed(spark, root))
-    paths = spark.createDataFrame([(p, u) for p, u, _ in found], "path string, uri string")
-    paths = paths.where(~F.col("path").rlike(r"^\.git/"))
+    paths = spark.createDataFrame([(p, u, m) for p, u, _, m in found], "path string, uri string, mode string")
+    paths = paths.where(~F.col("path").rlike(r"^\.git(/|$)"))
     if code_only:
-        paths = source_files(paths).drop("lang")
+        paths = source_files(paths).drop("lang").where(F.col("mode") != LINK)
     if ignore:
         paths = paths.where(~ignored(F.col("path"), ignore))
-    parts = max(1, min(len(found), sum(n for *_, n in found) // bytes_each + 1))
-    return paths.repartition(parts, "path").mapInArrow(_read_all, "path string, text string")
+    parts = max(1, min(len(found), sum(n for _, _, n, _ in found) // bytes_each + 1))
+    return paths.repartition(parts, "path").mapInArrow(_read_all, "path string, content binary, mode string")
+
+
+def scan_folder(spark: SparkSession, root: str, ignore: list[str] | None = None, code_only: bool = True) -> DataFrame:
+    """(path, text) of a tree of files, for reading and parsing: bytes that aren't UTF-8 are replaced."""
+    return scan_bytes(spark, root, ignore, code_only).mapInArrow(_as_text, "path string, text string")
 
 
 def read_text(root: str, name: str) -> str:

@@ -1,4 +1,9 @@
-"""The tables behind a timeline: snapshots, tree entries and blobs, appended to; one writer at a time per folder."""
+"""The tables behind a timeline: snapshots, tree entries and blobs, appended to.
+
+A blob is a file as it was, byte for byte, with its mode: its name is the digest of the bytes, with a suffix for
+executables and for links (whose bytes are their target).  A writer claims the next number before it adds a snapshot,
+by a file that must not exist yet, so that of two writers on one tip one fails.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import timeline as TL
+from tessera.sources.files import EXECUTABLE, LINK, PLAIN
 from tessera.sources.staging import stage
 
 VERSIONS = "repo string, seq long, tree string, ts long, label string, source string, agent string, turn string, branch string, head string"
 SNAPSHOTS = f"{VERSIONS}, parent_seq long, parent_tree string, id string, short string, parent string"
 ENTRIES = "tree string, path string, blob string"
-BLOBS = "blob string, text string, size long"
+BLOBS = "blob string, content binary, mode string, size long"
+STALE_CLAIM_MS = 600_000  # a writer that claimed a number and wrote no snapshot since is taken for dead
 
 
 class ConcurrentUpdate(RuntimeError):
@@ -59,26 +66,49 @@ class TimelineStore:
         return row.m if row and row.m else None
 
     def write_tree(self, files: DataFrame) -> str:
-        """Add the blobs and the entries of files(path, text) that are not there yet; returns the tree."""
-        rows = stage(files.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256)), "tree")
+        """Add the blobs and the entries of files(path, content, mode) that are not there yet; returns the tree.
+
+        files(path, text) are plain files in UTF-8.
+        """
+        content = F.col("content") if "content" in files.columns else F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+        mode = F.coalesce("mode", F.lit(PLAIN)) if "mode" in files.columns else F.lit(PLAIN)
+        rows = files.select("path", F.coalesce(content, F.lit(b"")).alias("content"), mode.alias("mode"))
+        suffix = F.when(F.col("mode") == EXECUTABLE, "-x").when(F.col("mode") == LINK, "-l").otherwise("")
+        rows = stage(rows.withColumn("blob", F.concat(F.sha2("content", 256), suffix)), "tree")
         found = TL.tree_hash(rows.select(F.lit(0).alias("k"), "path", "blob"), ["k"]).first()
         tree = found.tree if found else "empty"
         if self.entries.where(F.col("tree") == tree).isEmpty():
-            new = rows.select("blob", "text", F.octet_length("text").cast("long").alias("size")).dropDuplicates(["blob"]).join(self.blobs.select("blob"), "blob", "left_anti")
+            new = rows.select("blob", "content", "mode", F.octet_length("content").cast("long").alias("size")).dropDuplicates(["blob"]).join(self.blobs.select("blob"), "blob", "left_anti")
             stage(new, "blobs").write.mode("append").parquet(f"{self.folder}/blobs")
             rows.select(F.lit(tree).alias("tree"), "path", "blob").write.mode("append").parquet(f"{self.folder}/entries")
         return tree
 
+    def _claim(self, seq: int) -> None:
+        """Take the number, or fail if another writer has it."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/claims/{self._generation()}-{seq}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path.getParent())
+        if fs.createNewFile(path):
+            return
+        if fs.exists(path) and time.time() * 1000 - fs.getFileStatus(path).getModificationTime() > STALE_CLAIM_MS and fs.delete(path, False) and fs.createNewFile(path):
+            return
+        raise ConcurrentUpdate(f"{self.folder}: snapshot {seq} is being written")
+
     def create(self, files: DataFrame, label: str = "", source: str = "manual", agent: str | None = None, turn: str | None = None, branch: str = "unknown", head: str | None = None, ts: int | None = None):
-        """A snapshot of files(path, text), or None if the tree is the tip's."""
+        """A snapshot of files(path, content, mode) or files(path, text), or None if the tree is the tip's.
+
+        The tip is compared and swapped: ConcurrentUpdate is raised if another writer moves it meanwhile.
+        """
         tip = self.tip()
         tree = self.write_tree(files)
         if tip and tip.tree == tree:
             return None
+        seq = tip.seq + 1 if tip else 1
+        self._claim(seq)
         now = self.tip()
         if (now and now.seq) != (tip and tip.seq):
             raise ConcurrentUpdate(self.folder)
-        seq = tip.seq + 1 if tip else 1
         row = (self.repo, seq, tree, int(time.time()) if ts is None else ts, label, source, agent, turn, branch, head, *((tip.seq, tip.tree, tip.id) if tip else (None, None, None)))
         made = self.spark.createDataFrame([row], f"{VERSIONS}, parent_seq long, parent_tree string, parent string").withColumn("id", TL.snapshot_id()).withColumn("short", F.substring("id", 1, 8))
         one = made.select(*(c.split()[0] for c in SNAPSHOTS.split(", "))).first()
@@ -103,19 +133,38 @@ class TimelineStore:
     def size_kib(self) -> int:
         return (self.blobs.agg(F.sum("size")).first()[0] or 0) // 1024
 
+    def contents(self, tree: str) -> DataFrame:
+        """path, content, mode of a tree."""
+        return self.entries.where(F.col("tree") == tree).join(self.blobs.select("blob", "content", "mode"), "blob").select("path", "content", "mode")
+
     def apply(self, plan: DataFrame, root: str) -> None:
-        """Carry out a restore plan in a folder that driver and executors share."""
+        """Carry out a restore plan in a folder that driver and executors share; what is in the way of a file goes first."""
+
+        def delete(rows: Iterator) -> None:
+            for r in rows:
+                if os.path.lexists(where := os.path.join(root, r.path)):
+                    os.remove(where)
 
-        def act(rows: Iterator) -> None:
+        def write(rows: Iterator) -> None:
             for r in rows:
-                where = os.path.join(root, r.path)
-                if r.action == "delete":
-                    if os.path.exists(where):
-                        os.remove(where)
-                    continue
-                os.makedirs(os.path.dirname(where), exist_ok=True)
-                with open(f"{where}.tmp", "w", encoding="utf-8", newline="") as f:
-                    f.write(r.text)
-                os.replace(f"{where}.tmp", where)  # a task that runs twice leaves the same file
-
-        plan.join(self.blobs.select("blob", "text"), "blob", "left").foreachPartition(act)
+                put(os.path.join(root, r.path), r.content, r.mode)
+
+        plan = stage(plan, "plan")
+        plan.where("action = 'delete'").select("path").foreachPartition(delete)
+        plan.where("action = 'write'").join(self.blobs.select("blob", "content", "mode"), "blob").select("path", "content", "mode").foreachPartition(write)
+
+
+def put(where: str, content: bytes, mode: str) -> None:
+    """Write a file or a link; one that a task writes twice is the same file."""
+    os.makedirs(os.path.dirname(where) or ".", exist_ok=True)
+    if os.path.isdir(where) and not os.path.islink(where):  # folders that deletions have left empty
+        for folder, _, _ in os.walk(where, topdown=False):
+            os.rmdir(folder)
+    new = f"{where}.{uuid.uuid4().hex}.tmp"
+    if mode == LINK:
+        os.symlink(os.fsdecode(bytes(content)), new)
+    else:
+        with open(new, "wb") as f:
+            f.write(content)
+        os.chmod(new, 0o755 if mode == EXECUTABLE else 0o644)
+    os.replace(new, where)

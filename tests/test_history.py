@@ -10,6 +10,7 @@ from tessera.api import RestoreRefused, Workspace
 from tessera.operators import bisect as B
 from tessera.operators import timeline as TL
 from tessera.operators.ordered import with_previous
+from tessera.sources.timeline_store import ConcurrentUpdate, TimelineStore
 from tessera.streaming import watch as W
 
 
@@ -166,6 +167,59 @@ def test_workspace(spark, tmp_path):
     assert removed + kept == total and {r.source for r in w.store.snapshots.collect()} == {"manual"} and w.store.tip().seq <= newest
 
 
+def test_files_come_back_byte_for_byte(spark, tmp_path):
+    root = tmp_path / "project"
+    (root / "deep").mkdir(parents=True)
+    every = bytes(range(256))
+    (root / "every.bin").write_bytes(every)
+    (root / "odd.txt").write_bytes(b"\xff\xfe\xfd")
+    (root / "run.sh").write_text("#!/bin/sh\n")
+    (root / "run.sh").chmod(0o755)
+    (root / "deep/plain").write_bytes(b"")
+    (root / "to").symlink_to("deep/plain")
+    (root / "folder").symlink_to("deep")
+    w = Workspace(spark, str(root))
+    first = w.snap("one")
+    assert w.snap("same") is None and {r.path for r in w.changed(first.id).collect()} == {"every.bin", "odd.txt", "run.sh", "deep/plain", "to", "folder"}
+    (root / "odd.txt").write_bytes(b"\xfa\xfb\xfc")  # equal once decoded
+    second = w.snap("two")
+    assert [r.path for r in w.changed(second.id).collect()] == ["odd.txt"]
+    (root / "run.sh").chmod(0o644)
+    third = w.snap("three")
+    assert [(r.path, r.status) for r in w.changed(third.id).collect()] == [("run.sh", "M")]
+    (root / "every.bin").write_bytes(every[::-1])
+    (root / "to").unlink()
+    (root / "to").mkdir()
+    (root / "to/inside").write_text("in the way")
+    assert "Binary files" in {r.path: r.patch for r in w.diff(third.id).collect()}["every.bin"]
+    assert w.restore(first.id).applied
+    assert (root / "every.bin").read_bytes() == every and (root / "odd.txt").read_bytes() == b"\xff\xfe\xfd" and (root / "run.sh").stat().st_mode & 0o777 == 0o755
+    assert (root / "to").is_symlink() and (root / "to").readlink().name == "plain" and (root / "folder").is_symlink() and (root / "deep/plain").read_bytes() == b""
+    found = w.bisect(lambda folder: open(f"{folder}/every.bin", "rb").read() == every)
+    assert found.first_bad.source == "pre-restore" or found.reason is not None
+
+
+def test_two_writers_on_one_tip(spark, tmp_path):
+    store = TimelineStore(spark, str(tmp_path))
+    files = lambda text: spark.createDataFrame([("a", text)], "path string, text string")
+    assert store.create(files("1")).seq == 1
+    store._claim(2)  # another writer is at it
+    with pytest.raises(ConcurrentUpdate):
+        store.create(files("2"))
+    store.clear()
+    assert store.create(files("2")).seq == 1
+
+
+def test_bisect_tells_what_the_first_bad_snapshot_changed(spark, tmp_path):
+    w = Workspace(spark, str(tmp_path))
+    for k in range(3):
+        for j in range(25 if k == 2 else 1):
+            (tmp_path / f"f{j:02}.txt").write_text(str(k))
+        w.snap(str(k))
+    found = w.bisect(lambda folder: open(f"{folder}/f00.txt").read() != "2")
+    assert found.first_bad.label == "2" and found.last_good.label == "1" and [r.path for r in found.changed] == [f"f{j:02}.txt" for j in range(B.CHANGED)]
+
+
 def test_stream_of_changes(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     burst = [("r", f"src/f{i}.py", "change", start + dt.timedelta(milliseconds=30 * i)) for i in range(8)]
