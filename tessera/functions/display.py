@@ -48,3 +48,9 @@ def size_text(kib: Column) -> Column:
 
 def source_label(source: Column) -> Column:
     return F.coalesce(_lookup(SOURCES, source), source)
+
+
+def status_size_kib(text: Column) -> Column:
+    """The sum of the `size` and `size-pack` lines of a repository's status text, in KiB."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^(?:size|size-pack): (\d+)$"), F.lit(1))
+    return F.aggregate(F.transform(found, lambda n: n.cast("long")), F.lit(0).cast("long"), lambda total, n: total + n)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.staging import stage
 
 DAMPING, ITERATIONS = 0.85, 20
-DRIVER_EDGES = 2_000_000  # of pairs of row numbers: 32 MB
+DRIVER_BYTES = 32 << 20  # of the driver's arrays: 16 bytes for an edge, 24 for a node
 
 
 def simple_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,33 +26,43 @@ def out_degree(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("out_deg"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, driver_bytes: int = DRIVER_BYTES) -> DataFrame:
     """(id, rank) after exactly `iterations` rounds from 1/n; dangling rank is spread evenly.
 
-    The simplified graph is counted.  Up to driver_edges edges (and as many nodes) the rounds are sparse array sums on
-    the driver, since a job per round costs more than the round; beyond that each round is a staged join.
+    The simplified graph is counted.  While the arrays of its numbered nodes and edges stay within driver_bytes, the
+    rounds are sparse array sums on the driver, since a job per round costs more than the round; ids never leave the
+    cluster.  Beyond that each round is a staged join.
     """
     nodes = stage(nodes.select("id").where("id is not null").distinct(), "nodes")
     links = stage(simple_edges(nodes, edges), "edges")
     n, m = nodes.count(), links.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
-    return _small(nodes, links, n, iterations, damping) if max(n, m) <= driver_edges else _large(nodes, links, n, iterations, damping)
+    return _small(nodes, links, n, iterations, damping) if 24 * n + 16 * m <= driver_bytes else _large(nodes, links, n, iterations, damping)
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """id and its place from 0 to n - 1, in no order: the rows of a partition come after those of the partitions before."""
+    placed = stage(nodes.select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("k")), "placed")
+    counts, start = sorted((r.p, r.n) for r in placed.groupBy("p").agg(F.count("*").alias("n")).collect()), {}
+    total = 0
+    for p, size in counts:
+        start[p], total = total, total + size
+    first = F.create_map(*(F.lit(v) for pair in start.items() for v in pair))
+    return placed.select("id", (first[F.col("p")] + F.col("k")).alias("at"))
 
 
 def _small(nodes: DataFrame, links: DataFrame, n: int, iterations: int, damping: float) -> DataFrame:
-    ids = nodes.orderBy("id").toPandas()["id"]
-    place = {v: i for i, v in enumerate(ids)}
-    pairs = links.toPandas()
-    src, dst = (pairs[c].map(place).to_numpy(np.int64) for c in ("src", "dst"))
+    places = stage(_numbered(nodes), "places")
+    pairs = links.join(places.select(F.col("id").alias("src"), F.col("at").alias("a")), "src").join(places.select(F.col("id").alias("dst"), F.col("at").alias("b")), "dst").select("a", "b").toArrow()
+    src, dst = (pairs.column(c).to_numpy() for c in ("a", "b"))
     out = np.bincount(src, minlength=n)
     rank = np.full(n, 1.0 / n)
     for _ in range(iterations):
         share = np.bincount(dst, weights=(rank / np.maximum(out, 1))[src], minlength=n)
         rank = (1 - damping) / n + damping * (share + rank[out == 0].sum() / n)
-    import pandas as pd
-
-    return nodes.sparkSession.createDataFrame(pd.DataFrame({"id": ids, "rank": rank}), f"id {nodes.schema['id'].dataType.simpleString()}, rank double")
+    ranks = nodes.sparkSession.createDataFrame(pa.table({"at": pa.array(np.arange(n)), "rank": pa.array(rank)}))
+    return places.join(F.broadcast(ranks), "at").select("id", "rank")  # 16 bytes a row, bounded by driver_bytes
 
 
 def _large(nodes: DataFrame, links: DataFrame, n: int, iterations: int, damping: float) -> DataFrame:

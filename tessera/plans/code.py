@@ -59,7 +59,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @R.query(f"""WITH g AS (SELECT DISTINCT doc_id, true AS good FROM labels WHERE quality = 1),
 d AS MATERIALIZED (SELECT d.doc_id, {SQL_PATH} AS file, source AS name, coalesce(good, false) AS exported, n_chars / 1e6 AS rank, {sql_terms('source')} AS name_terms, {sql_terms(SQL_PATH)} AS path_terms, {sql_terms('text')} AS doc_terms FROM documents d LEFT JOIN g USING (doc_id)),
-t AS (SELECT *, list_concat(name_terms, path_terms, doc_terms) AS terms, regexp_matches(file, '{T.any_glob(FEATURES['report']['paths'])}') AS inside FROM d),
+t AS (SELECT *, list_concat(name_terms, path_terms, doc_terms) AS terms, regexp_matches(file, '^(web1/.*|web2/en/[^/]*)$') AS inside FROM d),
 q AS (SELECT {TERMS!r}::VARCHAR[] AS q),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM t),
 tf AS (SELECT file, x AS term, count(*) AS f FROM (SELECT file, unnest(terms) AS x FROM t) WHERE x IN ({', '.join(f"'{t}'" for t in TERMS)}) GROUP BY file, x),
@@ -175,21 +175,6 @@ def dir_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.suggest_features(files, none, [f"{covered}/**"])
 
 
-_PREVIOUS = "(SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS hash FROM documents WHERE doc_id % 2 = 0)"
-
-
-@R.query(f"""WITH c AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents), p AS {_PREVIOUS}
-SELECT count(*) FILTER (p.hash IS DISTINCT FROM c.hash) AS parsed, count(*) FILTER (p.hash = c.hash) AS reused, (SELECT count(*) FROM p) - count(*) FILTER (p.hash = c.hash) AS removed FROM c LEFT JOIN p USING (doc_id)""")
-def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an incremental build parses, keeps and drops, against an older state with every 7th text altered."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    now = docs.select("doc_id", F.sha2("text", 256).alias("hash"))
-    then = docs.where("doc_id % 2 = 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("old"))
-    joined = now.join(then, "doc_id", "left").agg(F.count_if(~F.col("hash").eqNullSafe(F.col("old"))).alias("parsed"), F.count_if(F.col("hash") == F.col("old")).alias("reused"))
-    stored = then.agg(F.count("*").alias("stored"))
-    return joined.select("parsed", "reused", F.greatest(stored.scalar() - F.col("reused"), F.lit(0)).alias("removed"))
-
-
 @R.query("SELECT sha256(coalesce(text, '')) AS hash, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))

@@ -33,12 +33,13 @@ def snapshot_log_limit_then_source(spark: SparkSession, sf_dir: str) -> DataFram
     return TL.log(_versions(spark, sf_dir), 200, CUTOFF * 1000, "manual").select("event_id", "source")
 
 
-@R.query(f"SELECT repo, event_id, lag(event_id) OVER (PARTITION BY repo ORDER BY seq) AS parent FROM {_KEPT} WHERE ts >= {CUTOFF} OR source = 'manual'")
+@R.query(f"SELECT repo, seq, lag(seq) OVER (PARTITION BY repo ORDER BY seq) AS parent_seq, lag(tree) OVER (PARTITION BY repo ORDER BY seq) AS parent_tree, row_number() OVER (PARTITION BY repo ORDER BY seq) > 1 AS linked FROM {_KEPT} WHERE ts >= {CUTOFF} OR source = 'manual'")
 def prune_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Survivors of pruning, each linked to the survivor before it."""
-    kept = TL.retained(_versions(spark, sf_dir), CUTOFF, keep_labeled=True)
-    linked = TL.with_previous(kept, "repo", ["seq"], ["event_id"])
-    return linked.select("repo", "event_id", F.col("prev.event_id").alias("parent"))
+    """Survivors of pruning, each linked to the survivor before it, by number and by id."""
+    rows = events(spark, sf_dir).withColumn("source", F.when(F.col("event_id") % 5 == 0, "manual").otherwise("watch"))
+    kept = TL.prune(TL.create_snapshots(rows), CUTOFF, keep_labeled=True)
+    named = kept.select("repo", F.col("id").alias("parent"), F.col("seq").alias("of"))
+    return kept.join(named, ["repo", "parent"], "left").select("repo", "seq", "parent_seq", "parent_tree", (F.col("of").isNotNull() & (F.col("of") == F.col("parent_seq"))).alias("linked"))
 
 
 @R.query(f"SELECT repo, count(*) AS snapshots, arg_max(event_id, seq) AS latest, arg_max(ts, seq) AS latest_ts FROM {_KEPT} GROUP BY repo")

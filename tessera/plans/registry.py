@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import code, history, text
+from tessera.plans import code, history, text, workspace
 
-QUERIES = {**text.QUERIES, **code.QUERIES, **history.QUERIES}
-ORACLES = {**text.ORACLES, **code.ORACLES, **history.ORACLES}
+QUERIES = {**text.QUERIES, **code.QUERIES, **history.QUERIES, **workspace.QUERIES}
+ORACLES = {**text.ORACLES, **code.ORACLES, **history.ORACLES, **workspace.ORACLES}

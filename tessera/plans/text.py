@@ -52,7 +52,7 @@ def useful_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.useful_string(F.col("props")).alias("useful"))
 
 
-@R.query(f"SELECT doc_id, {SQL_PATH} AS path FROM documents WHERE regexp_matches({SQL_PATH}, '{T.any_glob(GLOBS)}')")
+@R.query(f"SELECT doc_id, {SQL_PATH} AS path FROM documents WHERE regexp_matches({SQL_PATH}, '^(web[^/]*/.*|(.*/)?(en|fr)/[^/]*[0-4]|src0/[^/]*/1[^/])$')")
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", file_path().alias("path")).where(T.matches_any(F.col("path"), GLOBS))
 
@@ -89,13 +89,3 @@ def meta_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.concat(F.lit(f"{M.MARKER} "), F.to_json(row))).otherwise(f"{M.MARKER} {{broken")
     meta = M.decode(F.concat("event_type", F.lit("\n"), body))
     return table(spark, sf_dir, "events").select("event_id", meta.alias("m")).select("event_id", "m.source", "m.label", "m.branch")
-
-
-@R.query("""WITH d AS (SELECT doc_id, text, length(text) AS chars FROM documents WHERE contains(text, 'the')),
-n AS (SELECT count(*) AS files, sum(chars) AS naive, sum(least(chars, 720)) AS indexed FROM (SELECT chars FROM d ORDER BY doc_id LIMIT 5))
-SELECT files, round(naive / 3.6)::BIGINT AS naive_tokens, round(indexed / 3.6)::BIGINT AS indexed_tokens, round(naive / indexed::DOUBLE, 6) AS ratio FROM n""")
-def token_cost_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reading the first five files that hold a word costs, against a short body of each."""
-    first = table(spark, sf_dir, "documents").where(F.col("text").contains("the")).select("doc_id", F.length("text").alias("chars")).orderBy("doc_id").limit(5)
-    cost = first.agg(F.count("*").alias("files"), F.sum("chars").alias("naive"), F.sum(F.least("chars", F.lit(720))).alias("indexed"))
-    return cost.select("files", T.token_estimate(F.col("naive")).alias("naive_tokens"), T.token_estimate(F.col("indexed")).alias("indexed_tokens"), F.round(F.col("naive") / F.col("indexed"), 6).alias("ratio"))

@@ -113,7 +113,7 @@ def test_pagerank(spark, case, limit):
     if limit == 0 and case not in (0, 3):
         pytest.skip("the joined rounds are slow; two graphs will do")
     nodes, edges, expected = GRAPHS[case]
-    got = graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string"), driver_edges=limit)
+    got = graph.pagerank(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string"), driver_bytes=limit)
     ranks = {r.id: r.rank for r in got.collect()}
     assert abs(sum(ranks.values()) - 1) < 1e-9 and all(abs(ranks[n] - r) < 1e-6 for n, r in expected.items())
 
