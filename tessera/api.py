@@ -108,7 +108,8 @@ class Workspace:
     def find_feature(self, query: str, limit: int = 10, kind: str | None = None) -> DataFrame:
         if not query.strip():
             raise ValueError("empty query")
-        return search.search(self.ensure_index().docs, query, min(limit, 50), self.features, kind)
+        index = self.ensure_index()
+        return search.search(index.docs, query, min(limit, 50), self.features, kind, index.terms)
 
     def get_symbol(self, file: str, name: str, include: str = "body") -> Row | None:
         return readers.symbol_body(self.ensure_index().symbols, self._texts(), file, name, include == "body").first()
@@ -132,7 +133,7 @@ class Workspace:
     def measure_tokens(self, queries: list[str]) -> list[cost.Cost]:
         """Estimated tokens of each query by whole files and by the index, and the total."""
         index, texts = self.ensure_index(), self._texts()
-        each = [cost.measure(texts, index.docs, index.symbols, q, self.features) for q in queries]
+        each = [cost.measure(texts, index.docs, index.symbols, q, self.features, index=index.terms) for q in queries]
         return [*each, cost.total(each)]
 
     # --- the same as text

@@ -35,13 +35,13 @@ class Cost:
         return self.naive_chars / self.indexed_chars if self.indexed_chars else float("inf")
 
 
-def measure(texts: DataFrame, docs: DataFrame, symbols: DataFrame, query: str, features: search.FEATURES | None = None, opened: int = OPENED) -> Cost:
+def measure(texts: DataFrame, docs: DataFrame, symbols: DataFrame, query: str, features: search.FEATURES | None = None, opened: int = OPENED, index: tuple[DataFrame, DataFrame] | None = None) -> Cost:
     """texts(path, text), symbol_docs() and symbols; the plain search is for the query's longest word, without case."""
     word = max(query.split(), key=len)
     found = texts.where(F.contains(F.lower("text"), F.lit(word.lower())))
     listed = found.agg(F.count("*").alias("n"), F.sum(T.utf16_length(F.col("path")) + 1).alias("chars")).first()
     size = found.orderBy("path").limit(opened).agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
-    hits = search.search(docs, query, HITS, features)
+    hits = search.search(docs, query, HITS, features, index=index)
     rows = hits.select("file", "name", "parent", "start_line", R.hit().alias("line")).collect()
     indexed = len("\n".join(r.line for r in rows).encode("utf-16-le")) // 2
     if rows:

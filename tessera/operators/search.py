@@ -1,8 +1,10 @@
 """Ranked retrieval: BM25 with field boosts over one row per symbol (or document).
 
-A query has few terms, so nothing is exploded or shuffled: each row carries its array of terms, the frequencies of the
-query's terms are counted inside the row, the corpus statistics are one aggregate with map-side combination (a scalar
-subquery of the scoring plan), and the best rows come from TakeOrderedAndProject.
+A stored index has postings, sorted by term, and totals by kind: a query reads the rows of its own terms, which the
+footers of the files let it find, and joins them with the symbols that hold one.  Over a table without an index, nothing
+is exploded or shuffled: each row is analysed once, the frequencies of the query's terms are counted inside the row, and
+the few numbers that are left of it are staged for the statistics and the scores.  The best rows come from
+TakeOrderedAndProject, and what is shown of them is joined last.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources.staging import stage
 
 K1, B = 1.2, 0.75
 # fixed values: boosts and the labels of what fired
@@ -48,12 +51,12 @@ def bm25(tf: Column, length: Column, stats: Column, n_terms: int) -> Column:
 
 
 def bm25_scores(docs: DataFrame, query: list[str], text: str = "text") -> DataFrame:
-    """docs with `score` and `matched` (query terms that occur), both 0 for rows without any.
+    """docs without its text, with `score` and `matched` (query terms that occur), both 0 for rows without any.
 
-    Rows are not filtered here: Catalyst would push such a filter below the projections and split the text once more
-    for each term in it.  Filter after the top-k, where scores above 0 come first.
+    Texts are split once: what is staged is one array of counts and a length.
     """
-    rows = counted(docs.withColumn("_t", T.terms(F.col(text))), F.col("_t"), query).drop("_t")
+    rows = counted(docs.withColumn("_t", T.terms(F.col(text))), F.col("_t"), query).drop("_t", text)
+    rows = stage(rows, "counted")
     scored = rows.withColumn("_s", statistics(rows.select("len", "tf"), query).scalar())
     matched = F.size(F.filter("tf", lambda f: f > 0))
     return scored.withColumn("matched", matched).withColumn("score", bm25(F.col("tf"), F.col("len"), F.col("_s"), len(query))).drop("_s", "tf", "len")
@@ -106,11 +109,41 @@ def symbol_docs(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return rows.withColumn("terms", F.concat("name_terms", "path_terms", T.terms(F.col("parent")), "doc_terms", "literal_terms"))
 
 
-def search(docs: DataFrame, query: str, limit: int = 10, features: FEATURES | None = None, kind: str | None = None) -> DataFrame:
+POSTINGS = ["term", "kind", "file", "ord", "tf", "len"]
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """How often each term occurs in each row of symbol_docs(), in order of the terms."""
+    rows = docs.select("kind", "file", "ord", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    return rows.groupBy("term", "kind", "file", "ord", "len").agg(F.count("*").cast("int").alias("tf")).select(*POSTINGS).repartitionByRange("term").sortWithinPartitions("term", "kind", "file")
+
+
+def totals(docs: DataFrame) -> DataFrame:
+    """Symbols and terms of each kind."""
+    return docs.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("length"))
+
+
+def _from_postings(docs: DataFrame, index: tuple[DataFrame, DataFrame], terms: list[str], kind: str | None, every: Column) -> tuple[DataFrame, Column]:
+    """docs that hold a term (or for which `every` holds) with len and tf, and the statistics."""
+    held, whole = index
+    if kind is not None:
+        held, whole = held.where(F.col("kind") == kind), whole.where(F.col("kind") == kind)
+    held = held.where(F.col("term").isin(*terms))
+    df = {r.term: r.df for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}  # a row for each term of the query
+    n, length = whole.agg(F.sum("n"), F.sum("length")).first()
+    stats = F.struct(F.lit(n or 0).alias("n"), F.lit((length or 0) / n if n else 0.0).alias("avg_len"), F.array(*(F.lit(df.get(t, 0)) for t in terms)).alias("df"))
+    tf = F.array(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)) for t in terms))
+    counts = held.groupBy("file", "ord").agg(F.max("len").alias("len"), tf.alias("tf"))
+    rows = docs.join(counts, ["file", "ord"], "left").where(F.col("tf").isNotNull() | every)
+    return rows.withColumns({"len": F.coalesce("len", F.size("terms")), "tf": F.coalesce("tf", F.array_repeat(F.lit(0), len(terms)))}), stats
+
+
+def search(docs: DataFrame, query: str, limit: int = 10, features: FEATURES | None = None, kind: str | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The best symbols of symbol_docs() for a query: file, name, kind, lines, signature, doc, parent, score, why.
 
-    A kind is applied before the statistics.  A query without a term finds nothing, whatever its aliases.  Symbols of
-    a matched feature's files are returned even without a matching term, with score 0.
+    index: the stored postings() and totals() of docs.  A kind is applied before the statistics.  A query without a
+    term finds nothing, whatever its aliases.  Symbols of a matched feature's files are returned even without a
+    matching term, with score 0.
     """
     out = ["file", "name", "kind", "start_line", "end_line", "signature", "doc", "parent", "score", "why"]
     want = intent(query, features)
@@ -119,18 +152,23 @@ def search(docs: DataFrame, query: str, limit: int = 10, features: FEATURES | No
     if want is None:
         return docs.withColumns({"score": F.lit(0.0), "why": F.array().cast("array<string>")}).select(*out).limit(0)
     asked = F.array(*(F.lit(t) for t in want.terms))
-    rows = counted(docs, F.col("terms"), want.terms)
     inside = T.matches_any(F.col("file"), want.globs)
-    found = rows.withColumn("_s", statistics(rows.select("len", "tf"), want.terms).scalar())
-    found = found.withColumn("_candidate", F.exists("tf", lambda f: f > 0) | inside)
-    hit = lambda c: F.arrays_overlap(F.col(c), asked)
-    exact = F.lower("name").isin(want.names)
-    doc_hit, literal_hit, path_hit = hit("doc_terms"), hit("literal_terms"), hit("path_terms")
+    rows, stats = _from_postings(docs, index, want.terms, kind, inside) if index else (counted(docs, F.col("terms"), want.terms), None)
+    hit = lambda c: F.arrays_overlap(F.col(c), asked).alias(c.replace("terms", "hit"))
+    rows = rows.select("file", "ord", F.lower("name").alias("lowered"), "exported", "rank", "len", "tf", inside.alias("inside"), *map(hit, ("name_terms", "doc_terms", "literal_terms", "path_terms")))
+    if stats is None:
+        rows = stage(rows, "counted")
+        stats = statistics(rows.select("len", "tf"), want.terms).scalar()
+    found = rows.withColumn("_s", stats).withColumn("_candidate", F.exists("tf", lambda f: f > 0) | F.col("inside"))
+    exact = F.col("lowered").isin(want.names)
+    by_name = ~exact & F.col("name_hit")
     score = bm25(F.col("tf"), F.col("len"), F.col("_s"), len(want.terms))
-    for test, factor in ((exact, EXACT_NAME), (~exact & hit("name_terms"), NAME_TERM), (inside, IN_FEATURE), (literal_hit, LITERAL), (F.col("exported"), EXPORTED)):
+    for test, factor in ((exact, EXACT_NAME), (by_name, NAME_TERM), (F.col("inside"), IN_FEATURE), (F.col("literal_hit"), LITERAL), (F.col("exported"), EXPORTED)):
         score = score * F.when(test, factor).otherwise(1.0)
     score = score * (1 + F.least(F.col("rank") * RANK_SLOPE, F.lit(RANK_CAP)))
-    labels = [(exact, WHY_EXACT), (~exact & hit("name_terms"), WHY_NAME), (inside, "feature:" + ",".join(want.features)), (doc_hit, WHY_DOC), (literal_hit, WHY_LITERAL), (path_hit, WHY_PATH)]
+    labels = [(exact, WHY_EXACT), (by_name, WHY_NAME), (F.col("inside"), "feature:" + ",".join(want.features)), (F.col("doc_hit"), WHY_DOC), (F.col("literal_hit"), WHY_LITERAL), (F.col("path_hit"), WHY_PATH)]
     why = F.array_compact(F.array(*(F.when(test, F.lit(label)) for test, label in labels)))
     found = found.withColumns({"score": score, "why": F.when(F.size(why) > 0, why).otherwise(F.array(F.lit(WHY_TEXT)))})
-    return found.orderBy(F.desc("_candidate"), F.desc("score"), F.collate("file", "UNICODE"), "file", "ord").limit(limit).where("_candidate").select(*out)
+    best = found.orderBy(F.desc("_candidate"), F.desc("score"), F.collate("file", "UNICODE"), "file", "ord").limit(limit).where("_candidate").select("file", "ord", "score", "why")
+    shown = docs.select("file", "ord", "name", "kind", "start_line", "end_line", "signature", "doc", "parent").join(F.broadcast(best), ["file", "ord"])  # `limit` rows
+    return shown.orderBy(F.desc("score"), F.collate("file", "UNICODE"), "file", "ord").select(*out)

@@ -1,4 +1,4 @@
-"""The code index as tables: files, symbols, specifiers, edges and one row of metadata; built anew or incrementally."""
+"""The code index as tables: files, symbols, specifiers, edges, what search reads, and one row of metadata; built anew or incrementally."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import pagerank
 from tessera.operators.resolve import Alias, resolve_imports
-from tessera.operators.search import symbol_docs
+from tessera.operators.search import postings, symbol_docs, totals
 from tessera.parsers import SYMBOL, parse_files
 from tessera.sources.files import source_files
 from tessera.sources.staging import stage
 
-SCHEMA_VERSION = 1
-TABLES = ("files", "symbols", "specifiers", "edges")
+SCHEMA_VERSION = 2
+TABLES = ("files", "symbols", "specifiers", "edges", "docs", "postings", "totals")
 
 
 class NotIndexed(LookupError):
@@ -30,10 +30,13 @@ class CodeIndex:
     symbols: DataFrame  # file, ord, name, kind, start_line, end_line, exported, signature, doc, parent, strings
     specifiers: DataFrame  # src, lang, ord, spec
     edges: DataFrame  # src, dst, ord
+    docs: DataFrame  # symbols with their rank and the terms of their fields
+    postings: DataFrame  # term, kind, file, ord, tf, len, in order of the terms
+    totals: DataFrame  # kind, n, length
 
     @property
-    def docs(self) -> DataFrame:
-        return symbol_docs(self.symbols, self.files)
+    def terms(self) -> tuple[DataFrame, DataFrame]:
+        return self.postings, self.totals
 
 
 @dataclass
@@ -74,7 +77,9 @@ def build_index(files: DataFrame, previous: CodeIndex | None = None, aliases: li
     symbols, specifiers = stage(symbols, "symbols"), stage(specifiers, "specifiers")
     edges = stage(resolve_imports(specifiers, listed, aliases), "imports")
     ranks = pagerank(listed.select(F.col("path").alias("id")), edges.select("src", "dst")).withColumnRenamed("id", "path")
-    index = CodeIndex(listed.join(ranks, "path"), symbols, specifiers, edges)
+    ranked = listed.join(ranks, "path")
+    docs = stage(symbol_docs(symbols, ranked), "docs")
+    index = CodeIndex(ranked, symbols, specifiers, edges, docs, postings(docs), totals(docs))
     n_parsed, n_reused = parsed.count(), reused.count()
     return Built(index, n_parsed, n_reused, max(0, stored - n_reused), symbols.count(), int((time.time() - began) * 1000))
 

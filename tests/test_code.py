@@ -69,7 +69,10 @@ def test_empty_project(spark):
 
 
 def find(index, query, **options):
-    return search.search(index.docs, query, **options).collect()
+    """By the stored postings; a scan must find the same."""
+    found = search.search(index.docs, query, index=index.terms, **options).collect()
+    assert found == search.search(index.docs, query, **options).collect()
+    return found
 
 
 def test_search(index):
@@ -96,7 +99,15 @@ def test_aliases(index):
 def test_kind_applies_before_the_statistics(index):
     docs = index.docs
     alone = search.search(docs.where("kind = 'function'"), "login form").collect()
-    assert search.search(docs, "login form", kind="function").collect() == alone
+    assert search.search(docs, "login form", kind="function").collect() == alone and find(index, "login form", kind="function") == alone
+    assert find(index, "login form", kind="no such kind") == []
+
+
+def test_a_query_reads_only_its_own_terms(spark, index, tmp_path):
+    save_index(index, str(tmp_path / "i"))
+    stored = load_index(spark, str(tmp_path / "i"))
+    plan = search.search(stored.docs, "login", index=stored.terms)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [EqualTo(term,login)" in plan or "PushedFilters: [In(term, [login])" in plan or "EqualTo(term,login)" in plan
 
 
 GRAPHS = [
