@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import exchange as X
 from tessera.llm import kernels as K
+from tessera.llm.staging import keep, scratch
 
 PERIOD, COVER, WINDOW = 7, (0, 1, 3), 13
 ANCHOR = WINDOW - PERIOD + 1
@@ -104,7 +105,16 @@ def _cut(batches: Iterator[pa.RecordBatch], n_parts: int, texts: bool) -> Iterat
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
     """Per row of df: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept_text (kept words, one space apart)."""
-    held = X.store(df, id_col, text_col)
+    if texts:  # they are read when asked for, and so is what they are made from
+        return _deduped(X.store(df, id_col, text_col), texts)
+    with scratch(df.sparkSession):
+        held = X.store(df, id_col, text_col)
+        out = keep(_deduped(held, texts))
+    held.drop()
+    return out
+
+
+def _deduped(held: X.Store, texts: bool) -> DataFrame:
     n_parts = held.parts(PART_BYTES)
     chunks = held.read()
 
@@ -123,4 +133,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchors = X.ask(chunks, send_anchors, X.seen_twice, (), "anchors", n_parts)
     windows = X.ask(X.with_answers(chunks, anchors), send_windows, _smaller_elsewhere, ("anchors",), "windows", n_parts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    return held.finish(X.with_answers(chunks, anchors, windows).mapInArrow(lambda batches: _cut(batches, n_parts, texts), schema), keep=texts)
+    return X.with_answers(chunks, anchors, windows).mapInArrow(lambda batches: _cut(batches, n_parts, texts), schema)

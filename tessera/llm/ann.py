@@ -1,8 +1,8 @@
 """Nearest neighbours by cosine from score-aware (anisotropic) quantisation, four-bit table scans and exact reranking.
 
 Vectors are scaled to unit length and dealt to coarse cells; every row is indexed.  What a cell's centre leaves of a
-vector is coded by a product quantiser of sub-vectors with 16 code words each, fitted on at most TRAIN_ROWS rows so
-that the loss weighs the error's part parallel to the vector eta times the orthogonal part (the parallel part is what
+vector is coded by a product quantiser of sub-vectors with 16 code words each.  Cells are fitted and depths calibrated
+(by ASKED queries) on at most TRAIN_ROWS rows, code words on CODED_ROWS of them, so that the loss weighs the error's part parallel to the vector eta times the orthogonal part (the parallel part is what
 moves the largest inner products): codes by coordinate descent on that loss, code words by its weighted least-squares
 solution.  How many cells are probed, and which share of a block is reranked, are the least that keep RECALL of the
 true neighbours in the sample; a row that ties with a neighbour counts as before it.  The sample can't show groups of
@@ -10,8 +10,9 @@ near copies that are small beside the table, so every row is reranked, too, whos
 or within the margin of the block's k-th best that RECALL of the neighbours in the sample keep: a group that shares a
 few codes is scored exactly as a whole, whatever its size.
 
-A cell is stored in blocks of at most BLOCK rows (large cells are split by a hash of the id, so that a cell that a
-third of all rows fall into is many blocks).  A query block meets the blocks of its cells: per sub-vector a table of
+A cell is stored in blocks of about BLOCK rows (large cells are split by a hash of the id, so that a cell that a
+third of all rows fall into is many blocks).  A query block goes to each block of its cells by cell and block, so that
+a hot cell is many tasks: per sub-vector a table of
 16 partial products is looked up for the whole block, the best share of it is scored exactly in double precision on
 the original vectors, and the best of all blocks are merged by a grouped aggregation.
 
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.staging import small_batches, stage
 
-TRAIN_ROWS, THRESHOLD, SUB, CODES = 20_000, 0.2, 2, 16
+TRAIN_ROWS, CODED_ROWS, ASKED = 20_000, 6_000, 400  # bounds of the sample: for cells and calibration, for code words, and its queries
+THRESHOLD, SUB, CODES = 0.2, 2, 16
+QUERY_PART = 16_384  # queries of a task
 BLOCK, QUERY_BLOCK, LEAST_RERANK, MAX_CELLS, RECALL = 4096, 128, 64, 1024, 0.985
 
 
@@ -93,7 +96,7 @@ def fit(sample: np.ndarray, n_rows: int, rounds: int = 3) -> Index:
     unit = index.unit(sample)
     k = int(max(1, min(MAX_CELLS, np.sqrt(n_rows) / 4, len(unit) // 32)))
     index.centres = _kmeans(unit, k, 10, rng)
-    some = unit[rng.permutation(len(unit))[:6000]]
+    some = unit[rng.permutation(len(unit))[:CODED_ROWS]]
     cells = index.cells(some, 1)[:, 0]
     rest = some - index.centres[cells]
     for s in range(n_sub):
@@ -114,7 +117,7 @@ def fit(sample: np.ndarray, n_rows: int, rounds: int = 3) -> Index:
     return index
 
 
-def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> int:
+def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = ASKED) -> int:
     """The least number of cells whose members hold `recall` of the true neighbours of sampled queries in the sample.
 
     In the whole table neighbours are nearer than in the sample, so fewer cells would do: the number errs upward.
@@ -134,7 +137,7 @@ def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int
     return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
 
-def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 400) -> tuple[float, float]:
+def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = ASKED) -> tuple[float, float]:
     """The share of a cell's rows, best approximate score first, that holds `recall` of the sampled true neighbours.
 
     Also how far below the cell's k-th best other approximate score that many of them lie at most.  Blocks are random
@@ -214,13 +217,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     indexed = stage(rows.mapInArrow(assign, "cell int, id long, code binary, x binary"), "coded")
     sizes = {r.cell: r.n for r in indexed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MAX_CELLS rows at most
     n_blocks = F.create_map(*(F.lit(v) for c, m in sorted(sizes.items()) for v in (c, -(-m // BLOCK))))
-    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks[F.col("cell")]))
+    dealt = indexed.withColumn("block", F.pmod(F.xxhash64("id"), n_blocks[F.col("cell")].cast("long")))
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        return pd.DataFrame({"cell": rows["cell"].iloc[:1].values, "ids": [rows["id"].to_numpy(np.int64).tobytes()], "codes": [b"".join(rows["code"])], "xs": [b"".join(rows["x"])]})
+        return pd.DataFrame({"cell": rows["cell"].iloc[:1].values, "block": rows["block"].iloc[:1].values, "ids": [rows["id"].to_numpy(np.int64).tobytes()], "codes": [b"".join(rows["code"])], "xs": [b"".join(rows["x"])]})
 
-    blocks = stage(dealt.groupBy("cell", "block").applyInPandas(block, "cell int, ids binary, codes binary, xs binary"), "blocks")
+    blocks = stage(dealt.groupBy("cell", "block").applyInPandas(block, "cell int, block long, ids binary, codes binary, xs binary"), "blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries by cell, QUERY_BLOCK at a time."""
@@ -237,7 +240,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                         q = mine[j : j + QUERY_BLOCK]
                         yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "qids": pa.array([ids[q].tobytes()], pa.binary()), "qxs": pa.array([x[q].tobytes()], pa.binary())})
 
-    queries = rows.where(is_query).coalesce(1 if n < 1_000_000 else 1_000).mapInArrow(ask, "cell int, qids binary, qxs binary")
+    wanted = rows.where(is_query)
+    queries = wanted.coalesce(max(1, -(-wanted.count() // QUERY_PART))).mapInArrow(ask, "cell int, qids binary, qxs binary")
+    queries = queries.select("*", F.explode(F.transform(F.array_repeat(F.lit(0), F.coalesce(n_blocks[F.col("cell")], F.lit(0))), lambda _, i: i.cast("long"))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.released(batches):
@@ -249,7 +254,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                 got = scan(index, qids, qx, ids, packed, x, k, share, margin)
                 yield pa.RecordBatch.from_pydict(dict(zip(("query_id", "vec_id", "score"), map(pa.array, got))))
 
-    met = queries.join(blocks, "cell").select("qids", "qxs", "ids", "codes", "xs").mapInArrow(search, out_schema)
+    met = queries.join(blocks, ["cell", "block"]).select("qids", "qxs", "ids", "codes", "xs").mapInArrow(search, out_schema)
     order = F.struct((-F.col("score")).alias("s"), "vec_id")
     best = F.slice(F.array_sort(F.collect_set(order)), 1, k)
     ranked = met.groupBy("query_id").agg(best.alias("top")).select("query_id", F.posexplode("top").alias("p", "t"))

@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.staging import stage
+from tessera.llm.staging import keep, scratch, stage
 
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _MASK = (1 << 31) - 1
@@ -62,6 +62,11 @@ def _small(df: DataFrame, weight: str | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _keys(df: DataFrame) -> DataFrame:
+    """Broadcast up to BROADCAST_KEYS rows of 16 bytes; beyond, Spark filters large inputs by a Bloom filter of the keys before it shuffles them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
 def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, body, n_words, ...) of every row, the spans (doc_id, body, start, n, window), and the items' (item, w, window)."""
     items = stage(benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text").cast("string")).alias("w")).where("size(w) > 0"), "items")
@@ -91,6 +96,11 @@ def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, body (xxhash64 of the text), n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest window hit)."""
+    with scratch(docs.sparkSession):
+        return keep(_judged(docs, benchmark))
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     drawn, spans, owned = _search(docs, benchmark)
     held = spans.groupBy("doc_id", "body").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1)))))
@@ -130,12 +140,19 @@ def remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFra
     For texts that were cut since: a passage may have lost so much that no window of it is left whole.  Ids may be
     null or repeated; what is known of an id is a set of grams of the benchmark, so that it never grows with its rows.
     """
+    with scratch(docs.sparkSession):
+        return keep(_remains(docs, before, benchmark))
+
+
+def _remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFrame:
     _, spans, owned = _search(before, benchmark)
     grams = owned.select("window", "w").dropDuplicates(["window"]).select("window", F.explode(_grams(F.col("w"))).alias("gram"))
     known = spans.select(F.col("doc_id").alias("d"), "window").distinct().join(_small(grams), "window").groupBy("d").agg(F.collect_set("gram").alias("grams"))
     known = stage(known, "known")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    both = rows.join(_small(known, "grams"), rows.doc_id.eqNullSafe(known.d)).select("doc_id", "text", "grams")
+    ids = known.select(F.col("d").alias("known_id"))
+    some = rows.join(_keys(ids), rows.doc_id.eqNullSafe(ids.known_id), "left_semi")  # texts of other ids are not shuffled
+    both = some.join(_small(known, "grams"), some.doc_id.eqNullSafe(known.d)).select("doc_id", "text", "grams")
     # the words are bound by a lambda: as a column, Catalyst would push them into the filter and split the text once for every gram
     held = F.exists(F.array(words(F.col("text"))), lambda w: F.arrays_overlap("grams", _grams(w)))
     return both.where(held).select("doc_id", F.xxhash64("text").alias("body")).distinct()
@@ -144,7 +161,8 @@ def remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFra
 def _texts_of(rows: DataFrame, found: DataFrame) -> DataFrame:
     """found(doc_id, body, ...) with the words w of those texts; rows that are equal in id and text count once."""
     r = found.withColumnsRenamed({"doc_id": "d", "body": "b"})
-    texts = rows.withColumn("body", F.xxhash64("text"))
+    texts, keys = rows.withColumn("body", F.xxhash64("text")), r.select(F.col("d").alias("kd"), F.col("b").alias("kb"))
+    texts = texts.join(_keys(keys), texts.doc_id.eqNullSafe(keys.kd) & (texts.body == keys.kb), "left_semi")  # other texts are not shuffled
     both = texts.join(_small(r, r.columns[-1]), texts.doc_id.eqNullSafe(r.d) & (texts.body == r.b)).drop("d", "b")
     return both.dropDuplicates(["doc_id", "body"]).withColumn("w", words(F.col("text"))).drop("text")
 

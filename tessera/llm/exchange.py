@@ -160,14 +160,6 @@ class Store:
         """Partitions of the hash space, for about `least` bytes of text each or what the input's size asks for."""
         return max(1, -(-self.total_bytes // scaled(self.total_bytes, (least, PART_BYTES[1]), PARTS)))
 
-    def finish(self, df: DataFrame, keep: bool) -> DataFrame:
-        """A result without texts is small: it is written, and the chunks go; one with texts reads them when asked."""
-        if keep:
-            return df
-        out = stage(df, "result")
-        self.drop()
-        return out
-
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         discard(self.spark, self.path)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm import exchange as X
 from tessera.llm import kernels as K
 from tessera.llm.components import components
-from tessera.llm.staging import stage
+from tessera.llm.staging import keep, scratch, stage
 
 WIDTH, ROWS, MISS = 5, 5, 1e-6
 BROADCAST_PIVOTS = 200_000  # of rows of 40 bytes
@@ -141,8 +141,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Ids may be null or repeated, so that unrelated components can have the same component_id; label tells them apart.
     It is the least node of the component, and null for a text without shingles.
     """
-    held = X.store(df, id_col, text_col)
-    chunks = held.read()
+    with scratch(df.sparkSession):
+        held = X.store(df, id_col, text_col)
+        out = keep(_grouped(held.read(), percent))
+    held.drop()
+    return out
+
+
+def _grouped(chunks: DataFrame, percent: int) -> DataFrame:
     schema = "uid long, b long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, body long"
     n_bands = bands_for(percent)
     drawn = stage(chunks.mapInArrow(lambda it: _sketch(it, n_bands), schema), "sketches")
@@ -182,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = drawn.select("doc_id", "body", *set_key).join(owned, set_key, "left").withColumn("component", F.coalesce("component", "doc_id"))
     known = lambda c: F.when(F.col(c) != K.NO_ID, F.col(c))
     out = out.select(known("doc_id").alias("doc_id"), "n_shingles", known("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"), "body", "label")
-    return held.finish(out, keep=False)
+    return out
 
 
 def _through_pivots(pivoted: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

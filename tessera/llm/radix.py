@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import exchange as X
 from tessera.llm import kernels as K
+from tessera.llm.staging import keep, scratch
 
 DEPTH, GRAM, HOT = 100, 36, 64
 SPAN = DEPTH - GRAM + 1
@@ -345,7 +346,17 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A removed run may begin or end inside a character; kept_text leaves out what is left of such a character.
     """
-    held = X.store(df, id_col, text_col, carry)
+    fields = "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
+    if texts or carry:  # they are read when asked for, and so is what they are made from
+        return _deduped(X.store(df, id_col, text_col, carry), texts, len(carry or []), fields, hot)
+    with scratch(df.sparkSession):
+        held = X.store(df, id_col, text_col)
+        out = keep(_deduped(held, texts, 0, fields, hot))
+    held.drop()
+    return out
+
+
+def _deduped(held: X.Store, texts: bool, n_carried: int, fields: str, hot: int) -> DataFrame:
     n_parts = held.parts(PART_BYTES)
     chunks = held.read()
 
@@ -375,8 +386,6 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     grams = X.ask(chunks, send_grams, lambda bodies: gram_states(bodies, hot), (), "grams", n_parts)
     contexts = X.ask(X.with_answers(chunks, grams), send_contexts, compare, ("grams",), "contexts", n_parts, kinds=2)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    schema += "".join(f", c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carry or []))
-    n_carried = len(carry or [])
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts + fields
     whole = X.with_answers(held.read(carried=n_carried > 0), grams, contexts)
-    return held.finish(whole.mapInArrow(lambda batches: _cut(batches, n_parts, texts, n_carried), schema), keep=texts)
+    return whole.mapInArrow(lambda batches: _cut(batches, n_parts, texts, n_carried), schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +20,36 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back with its schema."""
     spark, schema = df.sparkSession, df.schema
     path = fresh_path(spark, name)
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at its end; what is to outlive it is staged after it, by keep()."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            discard(spark, path)
+
+
+def keep(df: DataFrame, name: str = "result") -> DataFrame:
+    """Stage df for those outside of the innermost scratch()."""
+    out = stage(df, name)
+    if _scratch and len(_scratch[-1]):
+        path = _scratch[-1].pop()
+        if len(_scratch) > 1:
+            _scratch[-2].append(path)
+    return out
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through the file system that owns it."""
     jvm = spark.sparkContext._jvm

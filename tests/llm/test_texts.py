@@ -75,6 +75,32 @@ def test_notice_lines(spark):
     assert (row.n_notices, row.notices, row.license_id) == (3, "CC-BY-NC-4.0,MIT", None)
 
 
+def test_licences_of_no_rows_repeated_rows_and_clashing_columns(spark):
+    assert licenses.license_scan(spark.createDataFrame([], DOCS)).count() == 0
+    docs = documents(spark, [licenses._MIT, licenses._MIT, None, None], [1, 1, 2, None])
+    plain = collected(licenses.license_scan(docs))
+    assert [r[2] for r in plain if r[0] == 1] == ["MIT", "MIT"] and len(plain) == 4
+    clash = docs.selectExpr("*", "1 as digest", "2 as license_id", "3 as found", "4 as notices")
+    assert collected(licenses.license_scan(clash)) == plain
+
+
+def test_digests_against_python(spark):
+    """An independent normalisation: characters that aren't letters or digits part words, and copyright statements go."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["Licence", "sub-license,", "The", "(software)", "provided", "AS-IS", "“quoted”", "favour", "x9"]) for _ in range(30)) for _ in range(40)]
+    texts += [f"Copyright (c) 2020 Foo Bar\n{t}" for t in texts[:5]] + [f"{t}\n(c) 1999 Foo\nAll rights reserved." for t in texts[:5]]
+
+    def canonical(t):
+        lines = [x for x in t.lower().split("\n") if not re.match(r"(copyright )?\(c\) \d{4} |all rights reserved", x)]
+        t = " ".join(re.findall("[a-z0-9]+", "\n".join(lines)))
+        for a, b in (("licence", "license"), ("sub license", "sublicense"), ("favour", "favor")):
+            t = t.replace(a, b)
+        return hashlib.sha256(t.encode()).hexdigest()
+
+    got = {r.doc_id: r.digest for r in licenses.license_scan(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(1, len(texts) + 1)] == [canonical(t) for t in texts]
+
+
 # --- decontamination
 
 
