@@ -36,7 +36,7 @@ def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Groups are the components themselves, not their ids: texts without an id, or with one id, needn't resemble each other.
     """
-    found = stage(near_duplicates(docs, percent=80).where("n_shingles > 0"), "found")
+    found = near_duplicates(docs, percent=80).where("n_shingles > 0")
     texts = found.groupBy("label", "doc_id", "body").agg(F.count("*").alias("copies"))
     least = texts.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")).alias("m")).select("label", F.col("m.doc_id").alias("d"), F.col("m.body").alias("b"))
     joined = texts.join(least, "label")
