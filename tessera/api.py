@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions import render
 from tessera.functions.display import parse_duration
@@ -19,6 +21,7 @@ from tessera.operators import cost, readers, repo_map, search, timeline
 from tessera.sources import files as FS
 from tessera.sources.code_index import Built, CodeIndex, NotIndexed, build_index, load_index, save_index
 from tessera.sources.timeline_store import TimelineStore, put
+from tessera.streaming.changes import Mark
 
 
 class RestoreRefused(PermissionError):
@@ -238,17 +241,46 @@ class Workspace:
     def prune(self, older_than: str, keep_labeled: bool = False) -> tuple[int, int]:
         return self.store.prune(time.time() - parse_duration(older_than) / 1000, keep_labeled)
 
+    @property
+    def _mark(self) -> Mark:
+        return Mark(os.path.join(self.state, "watch.pid"))
+
     def status(self) -> dict[str, Any]:
         tip = self.store.tip()
-        return {"snapshots": self.store.snapshots.count(), "size_kib": self.store.size_kib(), "latest": tip.seq if tip else None, "watching": [q.name for q in self.spark.streams.active if q.isActive]}
+        return {"snapshots": self.store.snapshots.count(), "size_kib": self.store.size_kib(), "latest": tip.seq if tip else None, "watching": self._mark.pid()}
 
-    def watch(self, events: DataFrame, quiet: str | None = None, on_error: Callable[[Exception], None] | None = None):
-        """Snapshot after every burst of a stream of change events (repo, path, op, ts); the index follows if configured."""
+    def watch(self, events: DataFrame | None = None, quiet: str | None = None, on_error: Callable[[Exception], None] | None = None) -> Watching:
+        """Snapshot after every burst of changes below the root, or of a stream of events (repo, path, op, ts); the index follows if configured."""
         from tessera.streaming import watch as W
-
-        if any(q.name == f"watch-{self.root}" and q.isActive for q in self.spark.streams.active):
-            raise RuntimeError("already watched")
-        config = self.config
-        bursts = W.debounced(W.watched(events, config.watch_ignore), quiet or f"{config.debounce_ms} milliseconds")
+        from tessera.streaming.changes import changes
+
+        if (pid := self._mark.pid()) is not None:
+            raise RuntimeError(f"already watched by process {pid}")
+        config, mark = self.config, self._mark
+        delay = "10 seconds" if events is not None else "0 seconds"  # a listing gives its events in order
+        heeded = W.watched(changes(self.spark, self.root, self.store.repo) if events is None else events, config.watch_ignore)
+        bursts = W.debounced(heeded, quiet or f"{config.debounce_ms} milliseconds", delay)
         refresh = (lambda _: self.index()) if config.index_on_watch else None
-        return W.watch(bursts, lambda batch, _: self.snap("", "watch") is not None, f"{self.state}/watch", refresh, on_error)
+        mark.set()
+        try:
+            query = W.watch(bursts, lambda batch, _: self.snap("", "watch") is not None, os.path.join(self.state, "watch", uuid.uuid4().hex), refresh, on_error, each=mark.renew)
+        except Exception:
+            mark.clear()
+            raise
+        return Watching(self, query)
+
+
+@dataclass
+class Watching:
+    """A running watch."""
+
+    workspace: Workspace
+    query: StreamingQuery
+
+    def flush(self) -> Row | None:
+        """Snapshot now, without waiting for a quiet time."""
+        return self.workspace.snap("", "watch")
+
+    def close(self) -> None:
+        self.query.stop()
+        self.workspace._mark.clear()

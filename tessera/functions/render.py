@@ -44,3 +44,27 @@ def log_row(now: Column) -> Column:
 def lines(rows: DataFrame, line: Column) -> str:
     """The rows, in their order, one after the other; for results that a limit bounds."""
     return "\n".join(r.line for r in rows.select(line.alias("line")).collect())
+
+
+def change() -> Column:
+    return F.concat("status", F.lit(" "), "path")
+
+
+def bisected(found) -> str:
+    """What a bisect found, with the first files of the first bad snapshot."""
+    if found.first_bad is None:
+        return found.reason or "nothing found"
+    bad = found.first_bad
+    said = [f"first bad: {bad.short} [{bad.source}] {bad.label}".rstrip(), *(f"    {r.status} {r.path}" for r in found.changed)]
+    if found.last_good is not None:
+        said.append(f"last good: {found.last_good.short}; restore {found.last_good.short} goes back to it")
+    elif found.reason:
+        said.append(found.reason)
+    return "\n".join([*said, f"{found.tested} of {found.candidates} snapshots tested"])
+
+
+def status(state: dict) -> str:
+    kib = state["size_kib"]
+    size = f"{kib} KiB" if kib < 1024 else f"{kib / 1024:.1f} MiB"
+    watched = f"watched by process {state['watching']}" if state["watching"] else "not watched"
+    return f"{state['snapshots']} snapshots, {size}, {watched}"

@@ -27,6 +27,7 @@ def watched(events: DataFrame, ignore: list[str] | None = None) -> DataFrame:
     globs = WATCH_IGNORE if ignore is None else ignore
     path = F.col("path")
     inside = ~path.startswith("../") & (path != "")
+    # paths outside are heeded, as those that the watch was asked for besides the root
     return events.where(path.isNull() | ~inside | ~T.matches_any(path, globs))
 
 
@@ -36,8 +37,13 @@ def settled(events: DataFrame, stable: str = "150 milliseconds") -> DataFrame:
 
 
 def debounced(events: DataFrame, quiet: str = "500 milliseconds", watermark: str | None = "10 seconds") -> DataFrame:
-    """repo, first, fires, n: bursts that end with a quiet time; there is no longest wait."""
+    """repo, first, fires, n: bursts that end with a quiet time; there is no longest wait.
+
+    Ticks only move the watermark: the test names ts, else it would be pushed below.
+    """
     rows = events.withWatermark("ts", watermark) if watermark else events
+    if "op" in events.columns:
+        rows = rows.where(~((F.col("op") == "tick") & F.col("ts").isNotNull()))
     return rows.groupBy("repo", F.session_window("ts", quiet).alias("w")).agg(F.count("*").alias("n")).select("repo", F.col("w.start").alias("first"), F.col("w.end").alias("fires"), "n", F.lit("watch").alias("source"))
 
 
@@ -70,15 +76,17 @@ def changed_versions(versions: DataFrame) -> DataFrame:
     return versions.select("repo", "seq", "tree").groupBy("repo").transformWithStateInPandas(_Changed(), outputStructType=f"repo {key}, seq long, tree string", outputMode="Append", timeMode="None")
 
 
-def watch(bursts: DataFrame, flush: Callable[[DataFrame, int], bool], checkpoint: str, on_flush: Callable[[int], None] | None = None, on_error: Callable[[Exception], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
+def watch(bursts: DataFrame, flush: Callable[[DataFrame, int], bool], checkpoint: str, on_flush: Callable[[int], None] | None = None, on_error: Callable[[Exception], None] | None = None, trigger: dict | None = None, each: Callable[[], None] | None = None) -> StreamingQuery:
     """Run flush(bursts of the batch, batch id) for every batch with a burst; on_flush follows where it wrote a version.
 
-    Batches run one after the other, so events that come during a flush make exactly one more.  An error goes to
+    each() runs at every batch, with or without a burst.  Batches run one after the other, so events that come during a flush make exactly one more.  An error goes to
     on_error (or the log) and the stream goes on.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def run(batch: DataFrame, batch_id: int) -> None:
         try:
+            if each:
+                each()
             if not batch.isEmpty() and flush(batch, batch_id) and on_flush:
                 on_flush(batch_id)
         except Exception as e:  # the stream outlives one failed flush
@@ -87,4 +95,4 @@ def watch(bursts: DataFrame, flush: Callable[[DataFrame, int], bool], checkpoint
             else:
                 logging.getLogger(__name__).warning("flush %s failed: %s", batch_id, e)
 
-    return bursts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    return bursts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()

@@ -1,15 +1,19 @@
 """The timeline: creation, listing, differences, restores, pruning, bisecting, sessions and streams."""
 
 import datetime as dt
+import os
 import random
+import socket
 import time
 
 import pytest
 
+from tessera import cli
 from tessera.api import RestoreRefused, Workspace
 from tessera.operators import bisect as B
 from tessera.operators import timeline as TL
 from tessera.operators.ordered import with_previous
+from tessera.sources import files as FS
 from tessera.sources.timeline_store import ConcurrentUpdate, TimelineStore
 from tessera.streaming import watch as W
 
@@ -220,6 +224,50 @@ def test_bisect_tells_what_the_first_bad_snapshot_changed(spark, tmp_path):
     assert found.first_bad.label == "2" and found.last_good.label == "1" and [r.path for r in found.changed] == [f"f{j:02}.txt" for j in range(B.CHANGED)]
 
 
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text('def login():\n    """Signs in."""\n    return 1\n')
+
+    def run(*arguments):
+        code = cli.main(["--root", str(tmp_path), *arguments])
+        said = capsys.readouterr()
+        return said.out.strip() if code == 0 else said.err.strip()
+
+    assert run("init").startswith("1 parsed, 0 reused") and run("index", "--stats").count("py") >= 2
+    assert run("find", "login").startswith("a.py:1-3 login") and "login" in run("map") and "login" in run("outline", "a.py") and run("outline", "b.py").startswith("no such")
+    assert run("feature", "add", "sign", "**/*.py", "-a", "giriş") == "sign: **/*.py (also giriş)" and run("feature", "rm", "sign") == ""
+    first = run("snap", "-m", "one").split()[0]
+    assert run("snap") == "nothing has changed" and run("log").endswith("one")
+    (tmp_path / "a.py").write_text("def login(): return 2\n")
+    second = run("snap", "-m", "two").split()[0]
+    assert run("diff", first, second, "--stat") == "M a.py" and "+def login(): return 2" in run("diff", first, second)
+    found = run("bisect", "--", "grep", "-q", "return 1", "a.py")
+    assert found.splitlines()[0] == f"first bad: {second} [manual] two" and "    M a.py" in found
+    assert run("restore", first, "--dry-run") == "write  a.py" and run("restore", first).startswith("write  a.py\nundo: restore")
+    assert run("restore", "none").startswith("tessera:") and run("prune", "--older-than", "1h") == "0 removed, 2 kept" and run("status").startswith("2 snapshots, 0 KiB, not watched")
+
+
+def test_watching_a_folder(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("1")
+    w = Workspace(spark, str(tmp_path))
+    FS.save_config(f"{w.state}/config.json", FS.Config(index_on_watch=False))
+    assert w.status()["watching"] is None
+    watching = w.watch()
+    try:
+        assert w.status()["watching"] == os.getpid() and watching.flush().seq == 1
+        with pytest.raises(RuntimeError):
+            w.watch()
+        end = time.time() + 120
+        while time.time() < end and w.status()["snapshots"] < 2:
+            (tmp_path / "b.txt").write_text("2")
+            time.sleep(4)
+        assert w.store.tip().seq == 2 and {r.path for r in w.changed(w.store.tip().id).collect()} == {"b.txt"}
+    finally:
+        watching.close()
+    assert w.status()["watching"] is None
+    (tmp_path / ".tessera/watch.pid").write_text("999999999 " + socket.gethostname())
+    assert w.status()["watching"] is None and not (tmp_path / ".tessera/watch.pid").exists()
+
+
 def test_stream_of_changes(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     burst = [("r", f"src/f{i}.py", "change", start + dt.timedelta(milliseconds=30 * i)) for i in range(8)]
