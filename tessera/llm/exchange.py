@@ -165,9 +165,9 @@ class Store:
         discard(self.spark, self.path)
 
 
-def _bytes_of(texts: DataFrame) -> int:
-    """The plan's own estimate (for files, their size); where it has none, the texts are measured."""
-    said = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def _bytes_of(df: DataFrame, texts: DataFrame) -> int:
+    """The plan's own estimate, which for files is their size; where it has none, the texts are measured."""
+    said = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return said if said < UNKNOWN_BYTES else texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
 
 
@@ -179,7 +179,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     # chunks and answers are joined by bucket and chunk, and the bucket alone is partitioning enough
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     path, table = fresh_path(spark, "chunks"), f"tessera_chunks_{uuid.uuid4().hex}"
-    size = _bytes_of(rows.select("t"))
+    size = _bytes_of(df, rows)
     chunk_bytes, buckets = scaled(size, CHUNK_BYTES, CHUNKS), min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
     keys = spread_keys(buckets)[0]
     made = rows.mapInArrow(lambda batches: _chunks(batches, chunk_bytes, keys), CHUNK_SCHEMA)

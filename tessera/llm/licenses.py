@@ -6,6 +6,7 @@ and maps equivalent spellings to one.  The SHA-256 of the canonical whole text i
 themselves are reported too, by the same digests.  DataFrame functions only.
 
 Null and empty texts have the digest of the empty string and no licence.  Ties: a digest belongs to one licence.
+Repeated rows each get their own row, with equal results; no rows give none.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: the standard texts of licences
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -48,7 +50,7 @@ REGISTRY: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
-# canonical digests of whole texts too long to hold here: Apache-2.0 with and without its appendix and without its last
+# fixed values: canonical digests of whole texts too long to hold here: Apache-2.0 with and without its appendix and without its last
 # line, the Unlicense, and those that Debian distributes
 WHOLE: list[tuple[str, str]] = [
     ("Apache-2.0", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
