@@ -21,6 +21,7 @@ _WORD = "A-Za-z0-9_"
 
 def terms(text: Column) -> Column:
     """Lower-case terms of camelCase, snake_case and path-like text; those of one UTF-16 unit are dropped."""
+    # fixed values: the patterns at which terms part
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), "([a-z0-9])([A-Z])", "$1 $2")
     spaced = F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2")
     parts = F.transform(F.split(spaced, r"[^\p{L}\p{N}]+", -1), F.lower)
