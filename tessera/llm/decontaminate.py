@@ -10,11 +10,14 @@ Items of fewer than 13 words are one window each; in documents that hold the ite
 item is looked up.  Equal windows of several items are one window until
 the last step.  The fingerprints of the benchmark are broadcast only while they are few (counted); beyond that they
 are joined by shuffle.  Null texts have no words; equal rows give equal results; null item ids name no item.
+
+Words are arrays of the heap, some twenty times as large as their text.  Texts of more than PIECE_BYTES are therefore searched in
+pieces that share their edges, so that no row's words grow with its text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.staging import keep, scratch, stage
@@ -22,8 +25,10 @@ from tessera.llm.staging import keep, scratch, stage
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 BROADCAST_ROWS, BROADCAST_KEYS = 200_000, 1_000_000
+PIECE_BYTES, EDGE_BYTES = 1 << 20, 1 << 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+INNER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of a word, before it is lower-cased
 _MASK = (1 << 31) - 1
 
 
@@ -31,6 +36,48 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), lambda w: w != "")
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(doc_id, body, part, text, after) of rows(doc_id, text): texts of up to PIECE_BYTES whole; longer ones in pieces, which are staged.
+
+    The words that start in a piece's own PIECE_BYTES are whole in it, and so are the `after` words that follow: WINDOW - 1
+    at least, or all that are left.  Thus each run of up to WINDOW words lies in the piece in which it starts.
+    """
+    whole = rows.select("doc_id", F.xxhash64("text").alias("body"), F.lit(0).alias("part"), "text", F.lit(0).alias("after"))
+    long = rows.where(F.octet_length("text") > PIECE_BYTES)
+    if not long.limit(1).count():
+        return whole
+    n = F.octet_length("text").cast("long")
+
+    def clean(raw: Column, start: Column, end: Column) -> Column:
+        """The bytes from start to end without words that began before start (the byte before it tells) or go on at end."""
+        text = F.substring(raw, F.greatest(start, F.lit(1)).cast("int"), (end - F.greatest(start - 1, F.lit(0))).cast("int")).cast("string")
+        text = F.when(start > 0, F.regexp_replace(text, f"^{INNER}+", "")).otherwise(text)
+        return F.when(end < n, F.regexp_replace(text, rf"(?<!{INNER}){INNER}+\z", "")).otherwise(text)
+
+    def cuts(raw: Column, first: Column) -> Column:
+        stop = F.least(n, first + PIECE_BYTES)
+        ends = [F.least(n, stop + k * EDGE_BYTES) for k in (1, 16, 256)]
+        end = F.coalesce(*(F.when((e == n) | (F.size(words(clean(raw, stop, e))) >= WINDOW - 1), e) for e in ends), n)
+        after = lambda e: F.when(stop < n, F.size(words(clean(raw, stop, e)))).otherwise(F.lit(0))
+        return F.transform(F.array(end), lambda e: F.struct((first / PIECE_BYTES).cast("int").alias("part"), clean(raw, first, e).alias("text"), after(e).alias("after")))
+
+    # the bytes are bound by a lambda: as a column, each use would copy them, and so would each piece's row
+    starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(PIECE_BYTES).cast("long"))
+    found = F.flatten(F.flatten(F.transform(F.array(F.col("text").cast("binary")), lambda raw: F.transform(starts, lambda first: cuts(raw, first)))))
+    cut = stage(long.select("doc_id", F.xxhash64("text").alias("body"), F.inline(found)), "pieces")
+    return whole.where(F.coalesce(F.octet_length("text") <= PIECE_BYTES, F.lit(True))).unionAll(cut)
+
+
+def _in_whole(spans: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The spans of pieces, with the starts that they have in the whole text; only texts of several pieces have parts above 0."""
+    sizes = drawn.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("part").alias("p"), "n_words").distinct()
+    several = sizes.where("p > 0").select(F.col("d").alias("sd"), F.col("b").alias("sb")).distinct()
+    sizes = sizes.join(_small(several), sizes.d.eqNullSafe(several.sd) & (sizes.b == several.sb), "left_semi")
+    bases = stage(sizes.select("d", "b", "p", F.coalesce(F.sum("n_words").over(Window.partitionBy("d", "b").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "bases")
+    moved = spans.join(_small(bases), spans.doc_id.eqNullSafe(bases.d) & (spans.body == bases.b) & (spans.part == bases.p), "left")
+    return moved.select("doc_id", "body", (F.col("start") + F.coalesce("base", F.lit(0))).cast("int").alias("start"), "n", "window").distinct()
+
+
 def _pair_min(step: int) -> Column:
     return F.transform("m", lambda x, i: F.least(x, F.get(F.col("m"), i + step)))
 
@@ -76,22 +123,31 @@ def _search(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     long, short = windows.where(F.size("w") == WINDOW), windows.where(F.size("w") < WINDOW)
     grams = stage(_with_winnow(long).select(F.explode(_fingerprints()).alias("f")).select("f.gram").distinct(), "grams")
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("body"), words(F.col("text")).alias("w"))
+    rows = _pieces(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    keyed = rows.select("doc_id", "body", "part", "after", words(F.col("text")).alias("w"))
     drawn = _with_winnow(keyed)
     n_short = short.count()
     extra = {"terms": F.array_distinct("w")} if n_short else {}
-    drawn = stage(drawn.select("doc_id", "body", F.size("w").cast("long").alias("n_words"), _fingerprints().alias("fingerprints"), *(c.alias(k) for k, c in extra.items())), "winnowed")
+    drawn = stage(drawn.select("doc_id", "body", "part", (F.size("w") - F.col("after")).cast("long").alias("n_words"), _fingerprints().alias("fingerprints"), *(c.alias(k) for k, c in extra.items())), "winnowed")
 
-    marked = drawn.select("doc_id", "body", F.explode("fingerprints").alias("f")).select("doc_id", "body", "f.gram", "f.place").join(_small(grams), "gram", "left_semi")
-    marked = stage(marked.groupBy("doc_id", "body").agg(F.collect_set("place").alias("places")), "marked")
+    marked = drawn.select("doc_id", "body", "part", F.explode("fingerprints").alias("f")).select("doc_id", "body", "part", "f.gram", "f.place").join(_small(grams), "gram", "left_semi")
+    marked = stage(marked.groupBy("doc_id", "body", "part").agg(F.collect_set("place").alias("places")), "marked")
     around = F.transform("places", lambda p: F.sequence(F.greatest(p - SPAN + 1, F.lit(0)), F.least(p, F.size("w") - WINDOW)))
-    tried = _texts_of(rows, marked).select("doc_id", "body", "w", F.explode(F.array_distinct(F.flatten(around))).alias("start"))
-    tried = tried.select("doc_id", "body", "start", F.slice("w", F.col("start") + 1, WINDOW).alias("is")).withColumn("window", F.xxhash64(F.array_join("is", " ")))
-    spans = tried.join(_small(long), "window").where(F.col("is") == F.col("w")).select("doc_id", "body", "start", F.lit(WINDOW).alias("n"), "window")
+    tried = _texts_of(rows, marked).select("doc_id", "body", "part", "w", F.explode(F.array_distinct(F.flatten(around))).alias("start"))
+    tried = tried.select("doc_id", "body", "part", "start", F.slice("w", F.col("start") + 1, WINDOW).alias("is")).withColumn("window", F.xxhash64(F.array_join("is", " ")))
+    spans = tried.join(_small(long), "window").where(F.col("is") == F.col("w")).select("doc_id", "body", "part", "start", F.lit(WINDOW).alias("n"), "window")
     if n_short:
         spans = spans.unionAll(_short_spans(rows, drawn, stage(short, "short")))
-    return drawn, stage(spans, "spans"), owned
+    spans = stage(spans, "spans")
+    if not drawn.where("part > 0").limit(1).count():
+        return drawn, spans.drop("part"), owned
+    return _whole_rows(drawn), stage(_in_whole(spans, drawn), "spans"), owned
+
+
+def _whole_rows(drawn: DataFrame) -> DataFrame:
+    """One row of each text, that of its first piece, with the words of all of its pieces; equal rows count their words once."""
+    sizes = drawn.select("doc_id", "body", "part", "n_words").distinct().where("part > 0").groupBy("doc_id", "body").agg(F.sum("n_words").alias("more"))
+    return _same(drawn.where("part = 0"), stage(sizes, "sizes"), ["more"]).withColumn("n_words", F.col("n_words") + F.coalesce("more", F.lit(0)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,34 +207,34 @@ def _remains(docs: DataFrame, before: DataFrame, benchmark: DataFrame) -> DataFr
     known = stage(known, "known")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = known.select(F.col("d").alias("known_id"))
-    some = rows.join(_keys(ids), rows.doc_id.eqNullSafe(ids.known_id), "left_semi")  # texts of other ids are not shuffled
-    both = some.join(_small(known, "grams"), some.doc_id.eqNullSafe(known.d)).select("doc_id", "text", "grams")
+    some = _pieces(rows.join(_keys(ids), rows.doc_id.eqNullSafe(ids.known_id), "left_semi"))  # texts of other ids are not shuffled
+    both = some.join(_small(known, "grams"), some.doc_id.eqNullSafe(known.d)).select("doc_id", "body", "text", "grams")
     # the words are bound by a lambda: as a column, Catalyst would push them into the filter and split the text once for every gram
     held = F.exists(F.array(words(F.col("text"))), lambda w: F.arrays_overlap("grams", _grams(w)))
-    return both.where(held).select("doc_id", F.xxhash64("text").alias("body")).distinct()
+    return both.where(held).select("doc_id", "body").distinct()
 
 
 def _texts_of(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """found(doc_id, body, ...) with the words w of those texts; rows that are equal in id and text count once."""
-    r = found.withColumnsRenamed({"doc_id": "d", "body": "b"})
-    texts, keys = rows.withColumn("body", F.xxhash64("text")), r.select(F.col("d").alias("kd"), F.col("b").alias("kb"))
-    texts = texts.join(_keys(keys), texts.doc_id.eqNullSafe(keys.kd) & (texts.body == keys.kb), "left_semi")  # other texts are not shuffled
-    both = texts.join(_small(r, r.columns[-1]), texts.doc_id.eqNullSafe(r.d) & (texts.body == r.b)).drop("d", "b")
-    return both.dropDuplicates(["doc_id", "body"]).withColumn("w", words(F.col("text"))).drop("text")
+    """found(doc_id, body, part, ...) with the words w of those pieces of rows; rows that are equal in id and text count once."""
+    r = found.withColumnsRenamed({"doc_id": "d", "body": "b", "part": "p"})
+    texts, keys = rows.drop("after"), r.select(F.col("d").alias("kd"), F.col("b").alias("kb"), F.col("p").alias("kp"))
+    texts = texts.join(_keys(keys), texts.doc_id.eqNullSafe(keys.kd) & (texts.body == keys.kb) & (texts.part == keys.kp), "left_semi")  # other texts are not shuffled
+    both = texts.join(_small(r, r.columns[-1]), texts.doc_id.eqNullSafe(r.d) & (texts.body == r.b) & (texts.part == r.p)).drop("d", "b", "p")
+    return both.dropDuplicates(["doc_id", "body", "part"]).withColumn("w", words(F.col("text"))).drop("text")
 
 
 def _short_spans(rows: DataFrame, drawn: DataFrame, short: DataFrame) -> DataFrame:
     """Spans of items of fewer than WINDOW words: in the texts that hold the item's rarest word, every place of it."""
     needed = short.select("window", F.explode(F.array_distinct("w")).alias("term"))
-    have = drawn.select("doc_id", "body", F.explode("terms").alias("term")).join(_small(needed.select("term").distinct()), "term", "left_semi").distinct()
+    have = drawn.select("doc_id", "body", "part", F.explode("terms").alias("term")).join(_small(needed.select("term").distinct()), "term", "left_semi").distinct()
     have = stage(have, "terms")
     times = have.groupBy("term").agg(F.count("*").alias("times"))
     rarest = needed.join(times, "term", "left").groupBy("window").agg(F.min_by("term", F.struct(F.coalesce("times", F.lit(0)), "term")).alias("term"))
     asked = have.join(_small(stage(rarest.join(short, "window").select("term", "window", F.col("w").alias("is")), "rarest")), "term")
-    asked = stage(asked.groupBy("doc_id", "body").agg(F.collect_list(F.struct("window", "is")).alias("claims")), "claims")
+    asked = stage(asked.groupBy("doc_id", "body", "part").agg(F.collect_list(F.struct("window", "is")).alias("claims")), "claims")
     places = lambda c: F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.get(F.col("w"), i) == F.get(c["is"], F.lit(0))) & (F.slice(F.col("w"), i + 1, F.size(c["is"])) == c["is"]))
     true = F.flatten(F.transform("claims", lambda c: F.transform(places(c), lambda i: F.struct(i.alias("start"), F.size(c["is"]).alias("n"), c["window"].alias("window")))))
-    return _texts_of(rows, asked).select("doc_id", "body", F.inline(true))
+    return _texts_of(rows, asked).select("doc_id", "body", "part", F.inline(true))
 
 
 def _same(left: DataFrame, right: DataFrame, take: list[str]) -> DataFrame:

@@ -4,13 +4,16 @@ import hashlib
 import pathlib
 import random
 import re
+import subprocess
+import sys
 import textwrap
 import time
 
 import pytest
 
+from tessera.llm import decontaminate as module
 from tessera.llm import licenses
-from tessera.llm.decontaminate import decontaminate
+from tessera.llm.decontaminate import decontaminate, remains
 from tessera.llm.main_text import MIN_PAGES, MIN_TOKENS, main_text, parse
 from tests.llm.corpus import DOCS, awkward, collected, documents, words
 
@@ -148,6 +151,41 @@ def test_decontamination(spark):
     assert collected(got) == brute_leaks(docs, bench)
 
 
+def test_decontamination_in_pieces(spark, monkeypatch):
+    """Texts longer than a piece: passages, words and characters across the cuts, words longer than a piece, equal rows."""
+    rng = random.Random(31)
+    long, short, word, odd = words(rng, 30, 10**6), words(rng, 4, 10**6), "solo", f"{words(rng, 8, 10**6)} {'é' * 300} ÀÉ日本 {words(rng, 6, 10**6)}"
+    bench = [(1, long), (2, short), (3, word), (4, odd), (5, "日本 é"), (6, "Z9 z9 Z9")]
+    texts = [None, "", long, odd, "x" * 900, f"{'x' * 900} solo {'y' * 900}", "-" * 900, f"{'. ' * 400}{short.upper()}{' .' * 400}\n", "z9 " * 300, "日本 é\n" * 60]
+    for _ in range(40):
+        texts.append(rng.choice([" ", "  \n", ", É "]).join(rng.choice([words(rng, rng.randrange(1, 40)), long, short, word, odd, "😀" * rng.randrange(40), "a" * 200]) for _ in range(rng.randrange(1, 8))))
+    ids = [None if k % 7 == 0 else k // 2 for k in range(len(texts))]
+    texts, ids = texts + texts[-5:], ids + ids[-5:]
+    docs, before = documents(spark, texts, ids), documents(spark, [f"{t or ''} {long}" if k % 3 else t for k, t in enumerate(texts)], ids)
+    whole = collected(remains(docs, before, items(spark, bench)))
+    for piece, edge in [(40, 8), (150, 30)]:
+        monkeypatch.setattr(module, "PIECE_BYTES", piece)
+        monkeypatch.setattr(module, "EDGE_BYTES", edge)
+        assert collected(decontaminate(docs, items(spark, bench)).drop("body", "longest")) == brute_leaks(list(zip(ids, texts)), bench)
+        assert collected(remains(docs, before, items(spark, bench))) == whole
+
+
+def test_decontamination_of_a_text_larger_than_a_task_can_split(tmp_path):
+    """In 700 MB of heap the words of this text at once are too much."""
+    run = f"""
+import random, sys
+sys.path.insert(0, {str(pathlib.Path(__file__).parents[2])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "700m").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from tessera.llm.decontaminate import decontaminate, remains
+item = " ".join(f"w{{k}}" for k in range(20))
+spark.range(1).selectExpr("id as doc_id", "concat(repeat('ab c def ', 1000000), '{{}}', repeat(' gh i jk', 1000000)) as text".format(item)).write.parquet({str(tmp_path / "docs")!r})
+print([tuple(r) for r in decontaminate(spark.read.parquet({str(tmp_path / "docs")!r}), spark.createDataFrame([(1, item)], "item_id long, text string")).select("n_words", "n_hit", "n_items").collect()])
+"""
+    got = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, timeout=600)
+    assert got.stdout.strip().splitlines()[-1:] == ["[(6000020, 20, 1)]"], got.stderr[-2000:]
+
+
 def test_decontamination_of_nothing(spark):
     docs = documents(spark, ["a b", None])
     assert [r.n_hit for r in decontaminate(docs, items(spark, [])).collect()] == [0, 0]
