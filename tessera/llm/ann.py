@@ -1,14 +1,14 @@
 """Nearest neighbours by cosine from score-aware (anisotropic) quantisation, four-bit table scans and exact reranking.
 
 Vectors are scaled to unit length and dealt to coarse cells; every row is indexed.  What a cell's centre leaves of a
-vector is coded by a product quantiser of sub-vectors with 16 code words each.  Cells are fitted and depths calibrated
-(by ASKED queries) on at most TRAIN_ROWS rows, code words on CODED_ROWS of them, so that the loss weighs the error's part parallel to the vector eta times the orthogonal part (the parallel part is what
-moves the largest inner products): codes by coordinate descent on that loss, code words by its weighted least-squares
-solution.  How many cells are probed, and which share of a block is reranked, are the least that keep RECALL of the
-true neighbours in the sample; a row that ties with a neighbour counts as before it.  The sample can't show groups of
-near copies that are small beside the table, so every row is reranked, too, whose approximate score is that of the cut
-or within the margin of the block's k-th best that RECALL of the neighbours in the sample keep: a group that shares a
-few codes is scored exactly as a whole, whatever its size.
+vector is coded by a product quantiser of sub-vectors with 16 code words each.  Cells are fitted on at most TRAIN_ROWS
+rows, code words on CODED_ROWS of them, so that the loss weighs the error's part parallel to the vector eta times the
+orthogonal part (the parallel part is what moves the largest inner products): codes by coordinate descent on that loss,
+code words by its weighted least-squares solution.  How many cells are probed, and which share of a block is reranked,
+are the least that keep RECALL of the true neighbours of up to ASKED of the queries themselves, which are found by brute
+force over the whole table: queries need not be like the other rows.  A row that ties with a neighbour counts as before
+it.  Every row is reranked, too, whose approximate score is that of the cut or within the margin of the block's k-th
+best that RECALL of those neighbours keep: a group that shares a few codes is scored exactly as a whole.
 
 A cell is stored in blocks of about BLOCK rows (large cells are split by a hash of the id, so that a cell that a
 third of all rows fall into is many blocks).  A query block goes to each block of its cells by cell and block, so that
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.staging import small_batches, stage
 
-TRAIN_ROWS, CODED_ROWS, ASKED = 20_000, 6_000, 400  # bounds of the sample: for cells and calibration, for code words, and its queries
+TRAIN_ROWS, CODED_ROWS, ASKED = 20_000, 6_000, 400  # bounds: rows for cells, for code words, and queries for calibration
 THRESHOLD, SUB, CODES = 0.2, 2, 16
 QUERY_PART = 16_384  # queries of a task
 BLOCK, QUERY_BLOCK, LEAST_RERANK, MAX_CELLS, RECALL = 4096, 128, 64, 1024, 0.985
@@ -117,55 +117,66 @@ def fit(sample: np.ndarray, n_rows: int, rounds: int = 3) -> Index:
     return index
 
 
-def probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = ASKED) -> int:
-    """The least number of cells whose members hold `recall` of the true neighbours of sampled queries in the sample.
+def calibrate(index: Index, blocks: DataFrame, qids: np.ndarray, qx: np.ndarray, k: int, recall: float) -> tuple[int, float, float]:
+    """Cells to probe, the share of a block to rerank, and the margin below its k-th best: the least that keep `recall` each.
 
-    In the whole table neighbours are nearer than in the sample, so fewer cells would do: the number errs upward.
+    The k true neighbours of these queries are found by brute force over all blocks, and where each is met is measured:
+    its cell's place in the query's order, its rank in its block by approximate score (ties before it), and how far it
+    is below the block's k-th best other score.
     """
-    n_cells = len(index.centres)
-    if n_cells == 1 or len(sample) < 2:
-        return n_cells
-    unit = index.unit(sample)
-    asked = unit[:: max(1, len(unit) // queries)][:queries]
-    score = asked @ unit.T
-    top = np.argpartition(-score, min(k, len(unit) - 1), axis=1)[:, : k + 1]
-    home = index.cells(unit, 1)[:, 0]
-    order = index.cells(asked, n_cells)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(n_cells), order.shape), axis=1)
-    need = np.sort(np.take_along_axis(place, home[top], axis=1).ravel())
-    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
-
-
-def depth(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = ASKED) -> tuple[float, float]:
-    """The share of a cell's rows, best approximate score first, that holds `recall` of the sampled true neighbours.
-
-    Also how far below the cell's k-th best other approximate score that many of them lie at most.  Blocks are random
-    parts of a cell, so the share holds for them; nearer neighbours in the whole table need less.
-    """
-    if len(sample) < 2:
-        return 1.0, float("inf")
-    unit = index.unit(sample)
-    home = index.cells(unit, 1)[:, 0]
-    codes = index.encode(unit, home)
-    asked = unit[:: max(1, len(unit) // queries)][:queries]
-    score = asked @ unit.T
-    top = np.argpartition(-score, min(k, len(unit) - 1), axis=1)[:, : k + 1]
-    n_sub = index.words.shape[0]
-    table = np.einsum("qsj,scj->qsc", asked.reshape(len(asked), n_sub, SUB), index.words)
-    need, below = [], []
-    for cell in np.unique(home):
-        mine = np.flatnonzero(home == cell)
-        place = np.full(len(unit), -1)
-        place[mine] = np.arange(len(mine))
-        for q, t in enumerate(place[top]):
-            if (t := t[t >= 0]).size:
-                approx = table[q][np.arange(n_sub), codes[mine]].sum(axis=1)
-                need += ((approx[None] >= approx[t][:, None]).sum(axis=1) / len(mine)).tolist()
-                below += np.maximum(_kth(approx[None], k + 1) - approx[t], 0.0).tolist()
-    share, margin = np.sort(need), np.sort(below)
-    at = min(len(share) - 1, int(np.ceil(recall * len(share))))
-    return (float(share[at]), float(margin[at])) if len(share) else (1.0, float("inf"))
+    n_sub, unit = index.words.shape[0], index.unit(qx)
+    table = np.einsum("qsj,scj->sqc", unit.reshape(len(unit), n_sub, SUB), index.words).astype(np.float32)
+    place = np.argsort(index.cells(unit, len(index.centres)), axis=1)
+    names = ["q", "vec_id", "score", "place", "need", "below"]
+
+    def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(["q", "score", "vec_id"], ascending=[True, False, True], kind="stable").groupby("q").head(k)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pd.DataFrame] = []
+        floor = np.full(len(qids), -np.inf)  # of what can still be a neighbour, by what this task has seen
+        for batch in K.released(batches):
+            for i in range(batch.num_rows):
+                cell, raw = batch.column(0)[i].as_py(), [batch.column(c)[i].as_buffer() for c in (1, 2, 3)]
+                ids, x = np.frombuffer(raw[0], np.int64), np.frombuffer(raw[2], np.float64).reshape(-1, index.dim)
+                packed = np.frombuffer(raw[1], np.uint8).reshape(len(ids), -1)
+                score = unit @ index.unit(x).T
+                score[qids[:, None] == ids] = -np.inf
+                some = np.flatnonzero((score.max(axis=1) >= floor) & (score.max(axis=1) > -np.inf))
+                if not len(some):
+                    continue
+                score, m = score[some], min(k, len(ids))
+                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                found = np.take_along_axis(score, top, axis=1)
+                approx = _approximate(table[:, some], packed)
+                at = np.take_along_axis(approx, top, axis=1)
+                need = np.stack([(approx >= at[:, j, None]).sum(axis=1) for j in range(m)], axis=1) / len(ids)
+                below = np.maximum(_kth(approx, k + 1)[:, None] - at, 0)
+                if m == k:
+                    floor[some] = np.maximum(floor[some], found.min(axis=1))
+                rows = pd.DataFrame({"q": np.repeat(some, m), "vec_id": ids[top].ravel(), "score": found.ravel(), "place": np.repeat(place[some, cell], m), "need": need.ravel(), "below": below.ravel().astype(np.float64)})
+                parts.append(rows[rows["score"] > -np.inf])
+                if len(parts) == 64:
+                    parts = [best(parts)]
+        if parts:
+            yield pa.RecordBatch.from_pandas(best(parts)[names], preserve_index=False)
+
+    met = blocks.select("cell", "ids", "codes", "xs").mapInArrow(measure, "q long, vec_id long, score double, place long, need double, below double")
+    nearest_of = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "place", "need", "below"))), 1, k)
+    got = met.groupBy("q").agg(nearest_of.alias("top")).select(F.inline("top")).select("place", "need", "below").toArrow()  # ASKED * k rows at most
+    if not got.num_rows:
+        return 1, 1.0, float("inf")
+    at = min(got.num_rows - 1, int(np.ceil(recall * got.num_rows)))
+    place_at, need_at, below_at = (np.sort(got.column(c).to_numpy())[at] for c in ("place", "need", "below"))
+    return int(place_at) + 1, float(need_at), float(below_at)
+
+
+def _approximate(table: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Approximate scores of a block's rows: for each query the sum of what the codes find in its tables."""
+    approx = np.zeros((table.shape[1], len(packed)), dtype=np.float32)
+    for s in range(len(table)):
+        approx += table[s][:, (packed[:, s // 2] >> (4 * (s % 2))) & 15]
+    return approx
 
 
 def _kth(approx: np.ndarray, k: int) -> np.ndarray:
@@ -200,7 +211,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     sample = rows.select("v").orderBy(F.xxhash64("id"), "id").limit(TRAIN_ROWS).toArrow()
     drawn = _matrix(sample.column("v").combine_chunks())
     index = fit(drawn, n)
-    n_probe, (share, margin) = probes(index, drawn, k, recall), depth(index, drawn, k, recall)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.released(batches):
@@ -225,6 +235,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
 
     blocks = stage(dealt.groupBy("cell", "block").applyInPandas(block, "cell int, block long, ids binary, codes binary, xs binary"), "blocks")
 
+    wanted = rows.where(is_query)
+    asked = wanted.orderBy(F.xxhash64("id"), "id").limit(ASKED).toArrow()
+    if not asked.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n_probe, share, margin = calibrate(index, blocks, asked.column("id").to_numpy(), _matrix(asked.column("v").combine_chunks()), k, recall)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries by cell, QUERY_BLOCK at a time."""
         for batch in K.released(batches):
@@ -240,7 +256,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
                         q = mine[j : j + QUERY_BLOCK]
                         yield pa.RecordBatch.from_pydict({"cell": pa.array([c], pa.int32()), "qids": pa.array([ids[q].tobytes()], pa.binary()), "qxs": pa.array([x[q].tobytes()], pa.binary())})
 
-    wanted = rows.where(is_query)
     queries = wanted.coalesce(max(1, -(-wanted.count() // QUERY_PART))).mapInArrow(ask, "cell int, qids binary, qxs binary")
     queries = queries.select("*", F.explode(F.transform(F.array_repeat(F.lit(0), F.coalesce(n_blocks[F.col("cell")], F.lit(0))), lambda _, i: i.cast("long"))).alias("block"))
 
@@ -271,9 +286,7 @@ def scan(index: Index, qids: np.ndarray, qx: np.ndarray, ids: np.ndarray, packed
     back = back.ravel()
     unit = index.unit(distinct).reshape(len(distinct), n_sub, SUB)
     table = np.einsum("qsj,scj->sqc", unit, index.words).astype(np.float32)
-    approx = np.zeros((len(distinct), len(ids)), dtype=np.float32)
-    for s in range(n_sub):
-        approx += table[s][:, (packed[:, s // 2] >> (4 * (s % 2))) & 15]
+    approx = _approximate(table, packed)
     keep = min(len(ids), max(LEAST_RERANK, int(np.ceil(share * len(ids)))) + 1)
     if keep < len(ids):  # single precision: a hair more than the margin
         cut = np.minimum(_kth(approx, keep), _kth(approx, k + 1) - np.float32(margin + 1e-5))

@@ -51,6 +51,17 @@ def test_recall(spark, kind):
             assert abs(s - x[i] @ x[q] / (np.linalg.norm(x[i]) * np.linalg.norm(x[q]))) < 1e-12
 
 
+def test_recall_of_queries_unlike_the_rows(spark):
+    """The rows are dense groups, whose neighbours share a cell; the queries lie between the groups."""
+    rng = np.random.default_rng(11)
+    n, d = 12_000, 24
+    ids = np.arange(n)
+    x = rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.1 * rng.normal(size=(n, d))
+    x[ids % 50 == 0] = rng.normal(size=(n // 50, d))
+    got, want = found(ann.nearest(frame(spark, ids, x), F.col("id") % 50 == 0)), brute(ids, x)
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+
+
 @pytest.mark.parametrize("drawn", [ann.TRAIN_ROWS, 600])
 @pytest.mark.parametrize("noise", [0.001, 0.01])
 def test_recall_among_near_copies(spark, monkeypatch, drawn, noise):
