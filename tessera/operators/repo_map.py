@@ -1,8 +1,9 @@
 """A ranked map of a repository inside a token budget: a greedy fold that skips what doesn't fit and goes on.
 
 Blocks are built in parallel, one row per file.  The fold needs only lengths, and a file can matter only if its block
-or its short form still fits, so the driver takes the next BATCH such files in order, folds over them, and asks again
-with what is left of the budget; nothing grows with the number of files.
+or its short form still fits, so the driver takes the lengths of the next BATCH such files in order, folds over them,
+and asks again with what is left of the budget.  The texts of the chosen forms, which fit the budget, come last; nothing
+grows with the number of files or the length of their blocks.
 """
 
 from __future__ import annotations
@@ -50,29 +51,42 @@ class Packed:
 def pack_budget(rows: DataFrame, budget: int, batch: int = BATCH) -> Packed:
     """rows(path, rank, block, short), by falling rank, then path; lengths count a line end each."""
     size = lambda c: (T.utf16_length(F.col(c)) + 1).alias(f"{c}_len")
-    sized = stage(rows.select("path", "rank", "block", "short", size("block"), size("short")), "blocks")
-    order = [F.desc("rank"), F.collate("path", "UNICODE"), F.col("path")]
-    out, last = Packed([], 0, 0), None
-    full = 0
+    sized = stage(rows.select("path", "rank", "block", "short", size("block"), size("short")).withColumn("row", F.monotonically_increasing_id()), "blocks")
+    key = F.collate("path", "UNICODE")
+    last, used, full = None, 0, 0
+    chosen: list[tuple[int, bool]] = []  # row, whether it is the whole block
     while True:
-        fits = sized.where(F.least("block_len", "short_len") <= budget - out.used)
+        fits = sized.where(F.least("block_len", "short_len") <= budget - used).select("row", "path", "rank", "block_len", "short_len")
         if last is not None:
-            key, path = F.collate("path", "UNICODE"), F.lit(last.path)
-            same = key == F.collate(path, "UNICODE")
-            fits = fits.where((F.col("rank") < last.rank) | ((F.col("rank") == last.rank) & ((key > F.collate(path, "UNICODE")) | (same & (F.col("path") > path)))))
-        got = fits.orderBy(*order).limit(batch).collect()
+            path = F.lit(last.path)
+            behind = (F.col("path") > path) | ((F.col("path") == path) & (F.col("row") > last.row))
+            behind = (key > F.collate(path, "UNICODE")) | ((key == F.collate(path, "UNICODE")) & behind)
+            fits = fits.where((F.col("rank") < last.rank) | ((F.col("rank") == last.rank) & behind))
+        # staged first: what every task has of the best rows would else be merged on the driver
+        top = stage(fits.orderBy(F.desc("rank"), key, F.col("path"), F.col("row")).limit(batch).withColumn("nth", F.monotonically_increasing_id()), "next")
+        got = sorted(top.collect(), key=lambda r: r.nth)
         for r in got:
-            for form, text, n in (("block", r.block, r.block_len), ("short", r.short, r.short_len)):
-                if out.used + n <= budget:
-                    out.entries.append((r.path, text.rstrip()))
-                    out.used += n
-                    full += form == "block"
+            for n, whole in ((r.block_len, True), (r.short_len, False)):
+                if used + n <= budget:
+                    chosen.append((r.row, whole))
+                    used += n
+                    full += whole
                     break
         if len(got) < batch:
             break
         last = got[-1]
-    out.truncated = sized.count() - full
-    return out
+    texts = _texts(sized, chosen)
+    return Packed([texts[row] for row, _ in chosen], used, sized.count() - full)
+
+
+def _texts(sized: DataFrame, chosen: list[tuple[int, bool]]) -> dict[int, tuple[str, str]]:
+    """Path and text of the chosen rows, which together are within the budget; no other text leaves the cluster."""
+    if not chosen:
+        return {}
+    wanted = sized.sparkSession.createDataFrame(chosen, "chosen long, whole boolean")
+    text = F.when(F.col("whole"), F.col("block")).otherwise(F.col("short"))
+    found = sized.join(F.broadcast(wanted), F.col("row") == F.col("chosen")).select("row", "path", text.alias("text"))
+    return {r.row: (r.path, r.text.rstrip()) for r in found.collect()}
 
 
 def repo_map(files: DataFrame, symbols: DataFrame, budget_tokens: int = 2000, private: bool = False) -> Packed:

@@ -189,6 +189,27 @@ def test_map_goes_on_after_a_miss(spark):
         assert [t[:1] + str(len(t)) for _, t in got.entries] == ["a50", "b30", "c10"] and got.truncated == 2
 
 
+def test_packing_brings_only_chosen_texts_to_the_driver(spark):
+    """200 blocks of 100,000 characters, of which none fits; their short forms do."""
+    rows = spark.range(200).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("path"), F.lit(1.0).alias("rank"), F.repeat(F.lit("x"), F.lit(100_000)).alias("block"), F.lit("s").alias("short"))
+    sent, collect = [], type(rows).collect
+
+    def counted(df):
+        out = collect(df)
+        sent.append(sum(len(str(v)) for r in out for v in r))
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(rows), "collect", counted)
+        got = repo_map.pack_budget(rows, 50_000, 64)
+    assert len(got.entries) == 200 and got.used == 400 and got.truncated == 200 and sum(sent) < 50_000
+
+
+def test_equal_paths_over_two_batches_are_all_packed(spark):
+    df = spark.createDataFrame([("a", 1.0, "a" * n, "a") for n in (3, 4, 5)], "path string, rank double, block string, short string")
+    assert sorted(len(t) for _, t in repo_map.pack_budget(df, 100, 1).entries) == [3, 4, 5]
+
+
 def test_suggestions(index):
     got = readers.suggest_features(index.files, index.symbols, ["src/auth/**", "src/util/crypto.ts"]).collect()
     assert "auth" not in [r.name for r in got] and "util" in [r.name for r in got] and got[0].glob.endswith("/**")
