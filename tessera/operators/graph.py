@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.staging import stage
+from tessera.sources.staging import ship, stage
 
 DAMPING, ITERATIONS = 0.85, 20
 DRIVER_BYTES = 32 << 20  # of the driver's arrays: 16 bytes for an edge, 24 for a node
+BLOCK, PACKED, HELD = 1 << 16, 1 << 17, 64  # nodes of an array, edges of a packed row, arrays that a task adds up
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BROADCAST_BYTES = 64 << 20  # of ranks, 8 bytes for a node; beyond, they meet the edges by shuffle
 
 
 def simple_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -31,7 +37,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
 
     The simplified graph is counted.  While the arrays of its numbered nodes and edges stay within driver_bytes, the
     rounds are sparse array sums on the driver, since a job per round costs more than the round; ids never leave the
-    cluster.  Beyond that each round is a staged join.
+    cluster.  Beyond that each round is staged on the cluster.
     """
     nodes = stage(nodes.select("id").where("id is not null").distinct(), "nodes")
     links = stage(simple_edges(nodes, edges), "edges")
@@ -66,12 +72,150 @@ def _small(nodes: DataFrame, links: DataFrame, n: int, iterations: int, damping:
 
 
 def _large(nodes: DataFrame, links: DataFrame, n: int, iterations: int, damping: float) -> DataFrame:
-    degrees = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
-    state = stage(nodes.join(degrees, "id", "left").select("id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank")), "ranks")
+    """Rounds over numbered nodes: ranks are arrays of BLOCK nodes, edges are packed once by the block of their source.
+
+    A row of edges holds what its sources give as places in that block, sorted by target, so that a round is a gather
+    and a sum by target.  A task adds up what it gives to a block before that is shuffled.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH_KEY))) > BATCH_BYTES:  # a row is some 2 MB
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    places = stage(_numbered(nodes), "places")
+    pairs = links.join(places.select(F.col("id").alias("src"), F.col("at").alias("a")), "src").join(places.select(F.col("id").alias("dst"), F.col("at").alias("b")), "dst")
+    pairs = pairs.select(F.floor(F.col("a") / BLOCK).cast("long").alias("block"), (F.col("a") % BLOCK).cast("int").alias("a"), "b")
+    dealt = pairs.repartitionByRange("block", F.xxhash64("a", "b")).sortWithinPartitions("block")
+    packed = stage(dealt.mapInArrow(lambda rows: _pack(rows, PACKED), "block long, a binary, b binary, first binary"), "packed")
+    degrees = packed.mapInArrow(lambda rows: _degrees(rows, BLOCK, HELD), "block long, places binary, amounts binary")
+    sizes = spark.range(-(-n // BLOCK)).select(F.col("id").alias("block"), F.least(F.lit(BLOCK), F.lit(n) - F.col("id") * BLOCK).cast("int").alias("size"))
+    state = stage(_added(sizes.select("block", "size", F.lit(None).cast("binary").alias("out")), degrees, lambda size, out, total: (total, np.full(size, 1.0 / n))), "ranks")
     for _ in range(iterations):
-        loose = state.where("out = 0").agg(F.sum("rank")).first()[0] or 0.0
-        gifts = state.where("out > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("gift"))
-        given = links.join(gifts, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("gift").alias("share"))
-        rank = (1 - damping) / n + damping * (F.coalesce("share", F.lit(0.0)) + loose / n)
-        state = stage(state.join(given, "id", "left").select("id", "out", rank.alias("rank")), "ranks")
-    return state.select("id", "rank")
+        loose = state.agg(F.sum("loose")).first()[0]
+        gifts = state.select("block", "gift")
+        gifts = F.broadcast(gifts) if 8 * n <= BROADCAST_BYTES else gifts
+        given = packed.join(gifts, "block").select("a", "b", "first", "gift").mapInArrow(lambda rows: _give(rows, BLOCK, HELD), "block long, places binary, amounts binary")
+
+        def fold(size: int, out: np.ndarray, total: np.ndarray, loose: float = loose) -> tuple[np.ndarray, np.ndarray]:
+            return out, (1 - damping) / n + damping * (total + loose / n)
+
+        state = stage(_added(state.select("block", "size", "out"), given, fold), "ranks")
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rank in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ranks = np.frombuffer(rank.as_buffer(), np.float64)
+                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(ranks)) + block * BLOCK), "rank": pa.array(ranks)})
+
+    ranks = state.select("block", "rank").mapInArrow(unpack, "at long, rank double")
+    return places.join(ranks, "at").select("id", "rank")
+
+
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, a, b, first) of at most `most` edges: places of the sources by target, the targets, where each begins."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    block, count = None, 0
+
+    def row() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(b, kind="stable")
+        targets, first = np.unique(b[order], return_index=True)
+        return _row(block, a[order].astype(np.int32), targets, first.astype(np.int32), names=("block", "a", "b", "first"))
+
+    for batch in batches:
+        blocks, a, b = (batch.column(i).to_numpy() for i in range(3))
+        for i, j in _runs(blocks):
+            for k in range(i, j, most):
+                some = slice(k, min(j, k + most))
+                size = some.stop - some.start
+                if held and (blocks[i] != block or count + size > most):
+                    yield row()
+                    held, count = [], 0
+                block = int(blocks[i])
+                held.append((a[some], b[some]))
+                count += size
+    if held:
+        yield row()
+
+
+def _runs(blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal numbers begins and ends."""
+    if not len(blocks):
+        return []
+    edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def _row(block: int, *arrays: np.ndarray, names: tuple[str, ...] = ("block", "places", "amounts")) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], list(names))
+
+
+def _give(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """What the rows (a, b, first, gift) give to each block of targets."""
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for a, b, first, gift in zip(*(batch.column(i) for i in range(4))):
+                sums = np.add.reduceat(np.frombuffer(gift.as_buffer(), np.float64)[np.frombuffer(a.as_buffer(), np.int32)], np.frombuffer(first.as_buffer(), np.int32))
+                yield np.frombuffer(b.as_buffer(), np.int64), sums
+
+    return _by_block(rows(), size, most)
+
+
+def _degrees(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """How many edges leave each node."""
+
+    def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for block, a in zip(batch.column(0).to_pylist(), batch.column(1)):
+                at, times = np.unique(np.frombuffer(a.as_buffer(), np.int32), return_counts=True)
+                yield at + np.int64(block) * size, times.astype(np.float64)
+
+    return _by_block(rows(), size, most)
+
+
+def _by_block(rows: Iterator[tuple[np.ndarray, np.ndarray]], size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Amounts for sorted nodes, added up by block in `most` arrays at most; those with few nodes go on as they are."""
+    held: dict[int, np.ndarray] = {}
+    for nodes, amounts in rows:
+        blocks = nodes // size
+        for i, j in _runs(blocks):
+            block, places = int(blocks[i]), (nodes[i:j] % size).astype(np.int32)
+            if block not in held and (len(held) >= most or j - i < size // 64):
+                yield _row(block, places, amounts[i:j])
+                continue
+            held.setdefault(block, np.zeros(size))[places] += amounts[i:j]
+    for block, total in held.items():
+        places = np.flatnonzero(total)
+        yield _row(block, places.astype(np.int32), total[places])
+
+
+def _added(state: DataFrame, given: DataFrame, fold: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """The next state of each block: its row of `state` and all that is given to it stream through one task, one after the other."""
+    nothing = F.lit(None).cast("binary")
+    both = state.select("block", "size", "out", nothing.alias("places"), nothing.alias("amounts")).unionByName(given.withColumns({"size": F.lit(None).cast("int"), "out": nothing}))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, out, total = None, 0, None, np.zeros(0)
+
+        def row() -> pa.RecordBatch:
+            degree, rank = fold(size, out, total[:size])
+            loose = float(rank[degree == 0].sum())
+            gift = np.where(degree > 0, rank / np.maximum(degree, 1), 0.0)
+            values = [pa.array([now], pa.int64()), pa.array([size], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (degree, rank, gift)), pa.array([loose])]
+            return pa.RecordBatch.from_arrays(values, ["block", "size", "out", "rank", "gift", "loose"])
+
+        for batch in batches:
+            for block, its_size, its_out, places, amounts in zip(*(batch.column(i) for i in range(5))):
+                if block.as_py() != now:
+                    if now is not None:
+                        yield row()
+                    now, size, out, total = block.as_py(), 0, None, np.zeros(BLOCK)
+                if its_size.is_valid:
+                    size = its_size.as_py()
+                    out = np.frombuffer(its_out.as_buffer(), np.float64) if its_out.is_valid else None
+                else:
+                    total[np.frombuffer(places.as_buffer(), np.int32)] += np.frombuffer(amounts.as_buffer(), np.float64)
+        if now is not None:
+            yield row()
+
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, size int, out binary, rank binary, gift binary, loose double")

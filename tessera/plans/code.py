@@ -79,8 +79,10 @@ _EDGES = "(SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
-    return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges
+    items = table(spark, sf_dir, "lineitem")
+    edges = items.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
+    parts, suppliers = (items.select(c).distinct().select(F.concat(F.lit(p), c).alias("id")) for p, c in (("p", "l_partkey"), ("s", "l_suppkey")))
+    return parts.union(suppliers), edges
 
 
 def _pagerank_sql() -> str:

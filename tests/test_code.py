@@ -129,6 +129,23 @@ def test_pagerank(spark, case, limit):
     assert abs(sum(ranks.values()) - 1) < 1e-9 and all(abs(ranks[n] - r) < 1e-6 for n, r in expected.items())
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_pagerank_in_rounds_over_blocks(spark, monkeypatch, shuffled):
+    """Many blocks and packed rows, a node that a third of all edges enter, and no join of strings in a round."""
+    for name, value in (("BLOCK", 128), ("PACKED", 100), ("HELD", 2), ("ITERATIONS", 4)):
+        monkeypatch.setattr(graph, name, value)
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 0 if shuffled else 1 << 20)
+    nodes, edges = [f"n{i}" for i in range(500)], [(f"n{i % 400}", f"n{0 if i % 3 else i * i % 500}") for i in range(3000)]
+    nodes, edges = spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")
+    joins = []
+    staged = graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: staged(joins.append((name, "src" in df._jdf.queryExecution().optimizedPlan().toString())) or df, name))
+    got = {r.id: r.rank for r in graph.pagerank(nodes, edges, 4, driver_bytes=0).collect()}
+    assert [name for name, _ in joins].count("ranks") == 5 and not any(strings for name, strings in joins if name == "ranks")
+    want = {r.id: r.rank for r in graph.pagerank(nodes, edges, 4).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-14 for k in want)
+
+
 def test_pagerank_of_nothing(spark):
     none = spark.createDataFrame([], "id string")
     assert graph.pagerank(none, spark.createDataFrame([], "src string, dst string")).count() == 0
